@@ -3,6 +3,7 @@ lexicon and frequencies, all derived by Spark from ``documents``."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,11 @@ def checksum(*cols) -> Column:
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    return words_from_documents(table(spark, sf, "documents"))
+    """Document words with context, persisted: every derived table (types,
+    lexicon, frequencies, silver rows) reads this one split of the text instead
+    of re-scanning and re-splitting ``documents``.  Identical plans share the
+    cached blocks; a lost block is recomputed from the scan."""
+    return words_from_documents(table(spark, sf, "documents")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def silver(spark: SparkSession, sf: str, drop_suffix: str | None = None) -> DataFrame:
@@ -29,8 +34,8 @@ def silver(spark: SparkSession, sf: str, drop_suffix: str | None = None) -> Data
 
 
 def lexicon(spark: SparkSession, sf: str, cfg: SegConfig = LATIN) -> DataFrame:
-    return lexicon_tags(corpus_lexicon(words(spark, sf)), cfg)
+    return lexicon_tags(corpus_lexicon(words(spark, sf)), cfg).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def freqs(spark: SparkSession, sf: str) -> DataFrame:
-    return normalise_freqs(word_counts(words(spark, sf)))
+    return normalise_freqs(word_counts(words(spark, sf))).persist(StorageLevel.MEMORY_AND_DISK)
