@@ -4,7 +4,9 @@ The fixtures carry no gold segmentations, so a deterministic affix rule makes
 them: an alphabetic word (``^[a-z]+$`` after lower-casing) loses a suffix
 ``ing|tion|ed|ly`` and a prefix ``re|un|in`` as long as a stem of at least
 three letters remains; cuts are placed at the same offsets in the original
-spelling.  Everything else is one segment.  ``drop_suffix`` removes one
+spelling.  A word ending in one punctuation mark (``,.;:!?``) after a run of
+other characters is cut before the mark, as the fixture rule set does, and
+is not cut further.  Everything else is one segment.  ``drop_suffix`` removes one
 suffix from the rule, which yields a second, slightly wrong segmentation
 used as "predictions" when checking the evaluator.
 """
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 SUFFIXES = ("ing", "tion", "ed", "ly")
 PREFIXES = ("re", "un", "in")
 MIN_STEM = 3
+PUNCT_SPLIT = "^([^|,.;:!?]+)([,.;:!?])$"
 
 
 def silver_seg(word: Column, suffixes=SUFFIXES, prefixes=PREFIXES) -> Column:
@@ -36,7 +39,9 @@ def silver_seg(word: Column, suffixes=SUFFIXES, prefixes=PREFIXES) -> Column:
         stem,
         F.when(suf > 0, F.concat(F.lit("|"), F.substring(word, n - suf + 1, suf))).otherwise(F.lit("")),
     )
-    return F.when(alpha, cut).otherwise(word)
+    punct = word.rlike(PUNCT_SPLIT)
+    return (F.when(punct, F.regexp_replace(word, PUNCT_SPLIT, "$1|$2"))
+            .when(alpha, cut).otherwise(word))
 
 
 def with_silver(words: DataFrame, col: str = "seg", drop_suffix: str | None = None) -> DataFrame:

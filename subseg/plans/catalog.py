@@ -307,7 +307,9 @@ def _silver_expr(word: str, suffixes=("ing", "tion", "ed", "ly")) -> str:
                              for s in suffixes) + " ELSE 0 END"
     pre0 = f"(CASE WHEN starts_with({lw}, 're') OR starts_with({lw}, 'un') OR starts_with({lw}, 'in') THEN 2 ELSE 0 END)"
     pre = f"(CASE WHEN {n} - {pre0} - ({suf}) >= 3 THEN {pre0} ELSE 0 END)"
-    return (f"(CASE WHEN regexp_matches({lw}, '^[a-z]+$') THEN "
+    punct = "'^([^|,.;:!?]+)([,.;:!?])$'"
+    return (f"(CASE WHEN regexp_matches({word}, {punct}) THEN regexp_replace({word}, {punct}, '\\1|\\2') "
+            f"WHEN regexp_matches({lw}, '^[a-z]+$') THEN "
             f"(CASE WHEN {pre} > 0 THEN substr({word}, 1, {pre}) || '|' ELSE '' END) || "
             f"substr({word}, {pre} + 1, {n} - {pre} - ({suf})) || "
             f"(CASE WHEN ({suf}) > 0 THEN '|' || substr({word}, {n} - ({suf}) + 1, {suf}) ELSE '' END) "
