@@ -2,13 +2,13 @@
 
 A document is one row, so its word array, and the previous/next word of every
 position, are built inside that row and exploded once: no window, no shuffle.
-Only context that crosses rows (conversation turns) needs a window, and that
-runs over one narrow row per turn, not per word.
+Context that crosses rows (conversation turns) joins one narrow row per turn
+on its neighbour's key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MISSING = "_"
@@ -62,22 +62,23 @@ def words_from_documents(docs: DataFrame, predict: bool = False) -> DataFrame:
 def words_from_turns(conv: DataFrame, predict: bool = False) -> DataFrame:
     """``conversations`` -> words with context running across the turns of a conversation.
 
-    The previous turn's last word and the next turn's first word come from a
-    lag/lead over one narrow row per turn, joined back on the unique
-    ``(conv_id, turn)`` key; the word arrays themselves never enter the window.
+    The previous turn's last word and the next turn's first word come from
+    equi-joins of one narrow row per turn on ``(conv_id, turn -/+ 1)``: unique
+    keys, so the joins stay parallel however long a conversation is (a window
+    over the conversation would put a hot conversation in one task).  A
+    missing or blank neighbouring turn is a context boundary (``_``).
     """
     t = conv.select("conv_id", "turn", split_words(F.col("text")).alias("ws"))
     t = t.withColumn("ws", F.filter("ws", lambda x: x != ""))
     ends = t.filter(F.size("ws") > 0).select(
         "conv_id", "turn", F.get("ws", 0).alias("first_w"), F.get("ws", F.size("ws") - 1).alias("last_w"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    ends = ends.select(
-        "conv_id", "turn",
-        F.coalesce(F.lag("last_w").over(w), F.lit(MISSING)).alias("prev_last"),
-        F.coalesce(F.lead("first_w").over(w), F.lit(MISSING)).alias("next_first"),
-    )
-    j = t.join(ends, ["conv_id", "turn"], "inner")
-    z = _ctx_arrays(F.col("ws"), F.col("prev_last"), F.col("next_first"), predict=predict)
+    prev = ends.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("last_w").alias("prev_last"))
+    nxt = ends.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("first_w").alias("next_first"))
+    j = (t.filter(F.size("ws") > 0)
+         .join(prev, ["conv_id", "turn"], "left")
+         .join(nxt, ["conv_id", "turn"], "left"))
+    z = _ctx_arrays(F.col("ws"), F.coalesce("prev_last", F.lit(MISSING)),
+                    F.coalesce("next_first", F.lit(MISSING)), predict=predict)
     return (j.select("conv_id", "turn", F.posexplode(z).alias("pos", "w"))
             .select("conv_id", "turn", "pos", "w.word", "w.prev_word", "w.next_word"))
 
