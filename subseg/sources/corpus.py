@@ -91,7 +91,7 @@ def words_from_lines(spark: SparkSession, paths, predict: bool = True) -> DataFr
     them to ``_``).  This is the reference's file format; bulk corpora belong
     in tables that carry their own ``(doc, pos)`` key.
     """
-    raw = spark.read.option("wholetext", "true").text(paths).select(
+    raw = spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value"))
     lines = F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), _STRIP, ""), "\n")
     z = _ctx_arrays(lines, predict=predict)
