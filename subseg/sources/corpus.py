@@ -40,6 +40,27 @@ def _ctx_arrays(ws: Column, first_prev: Column | None = None, last_next: Column
     return F.arrays_zip(ws.alias("word"), prevs.alias("prev_word"), nexts.alias("next_word"))
 
 
+def _explode_with_neighbours(df: DataFrame, keep: list, ws: str = "ws", first_prev: Column | None = None,
+                             last_next: Column | None = None, predict: bool = False) -> DataFrame:
+    """One row per array element with its neighbours read from the same array.
+
+    ``posexplode_outer`` (not ``posexplode``) keeps Catalyst from inferring a
+    ``size(ws) > 0`` filter that would evaluate the split a second time; empty
+    and null words are filtered after the explode instead.
+    """
+    e = df.select(*keep, ws, *([c for c in ("prev_last", "next_first") if c in df.columns]),
+                  F.posexplode_outer(ws).alias("pos", "word"))
+    pos = F.col("pos")
+    prev = F.get(F.col(ws), pos - 1)
+    nxt = F.get(F.col(ws), pos + 1)
+    if predict:
+        prev = F.when(prev == "", F.lit(MISSING)).otherwise(prev)
+        nxt = F.when(nxt == "", F.lit(MISSING)).otherwise(nxt)
+    prev = F.coalesce(prev, *([first_prev] if first_prev is not None else []), F.lit(MISSING))
+    nxt = F.coalesce(nxt, *([last_next] if last_next is not None else []), F.lit(MISSING))
+    return e.select(*keep, "pos", "word", prev.alias("prev_word"), nxt.alias("next_word"))
+
+
 def words_with_context(df: DataFrame, key: str, text_col: str = "text", keep: tuple[str, ...] = (),
                        predict: bool = False) -> DataFrame:
     """Prose rows -> ``(key, *keep, pos INT, word, prev_word, next_word)``.
@@ -47,11 +68,8 @@ def words_with_context(df: DataFrame, key: str, text_col: str = "text", keep: tu
     ``pos`` is the 0-based word index inside the row; context is ``_`` at both
     ends of the row.  Blank texts yield no words.
     """
-    z = _ctx_arrays(split_words(F.col(text_col)), predict=predict)
-    out = (df.select(key, *keep, F.posexplode(z).alias("pos", "w"))
-           .select(key, *keep, "pos", "w.word", "w.prev_word", "w.next_word")
-           .filter(F.col("word") != ""))
-    return out
+    x = df.select(key, *keep, split_words(F.col(text_col)).alias("ws"))
+    return _explode_with_neighbours(x, [key, *keep], predict=predict).filter(F.col("word") != "")
 
 
 def words_from_documents(docs: DataFrame, predict: bool = False) -> DataFrame:
@@ -77,10 +95,9 @@ def words_from_turns(conv: DataFrame, predict: bool = False) -> DataFrame:
     j = (t.filter(F.size("ws") > 0)
          .join(prev, ["conv_id", "turn"], "left")
          .join(nxt, ["conv_id", "turn"], "left"))
-    z = _ctx_arrays(F.col("ws"), F.coalesce("prev_last", F.lit(MISSING)),
-                    F.coalesce("next_first", F.lit(MISSING)), predict=predict)
-    return (j.select("conv_id", "turn", F.posexplode(z).alias("pos", "w"))
-            .select("conv_id", "turn", "pos", "w.word", "w.prev_word", "w.next_word"))
+    e = _explode_with_neighbours(j, ["conv_id", "turn"], first_prev=F.col("prev_last"),
+                                 last_next=F.col("next_first"), predict=predict)
+    return e.filter(F.col("word") != "")
 
 
 def words_from_lines(spark: SparkSession, paths, predict: bool = True) -> DataFrame:
@@ -94,6 +111,5 @@ def words_from_lines(spark: SparkSession, paths, predict: bool = True) -> DataFr
     raw = spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value"))
     lines = F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), _STRIP, ""), "\n")
-    z = _ctx_arrays(lines, predict=predict)
-    return (raw.select("file", F.posexplode(z).alias("pos", "w"))
-            .select("file", "pos", "w.word", "w.prev_word", "w.next_word"))
+    e = _explode_with_neighbours(raw.select("file", lines.alias("ws")), ["file"], predict=predict)
+    return e.filter(F.col("word").isNotNull())
