@@ -10,6 +10,7 @@ either exact divisions (bit-identical in both engines) or reduced to
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,7 +145,7 @@ def q_lexicon_feats(spark: SparkSession, sf: str) -> DataFrame:
 
 def _freq_sum():
     fr = F.col("freq_ratio")
-    return [F.sum(F.floor(fr * F.lit(1e6))).cast("bigint").alias("freq_ratio_e6"),
+    return [fx.mod_sum(F.floor(fr * F.lit(1e6))).alias("freq_ratio_e6"),
             F.sum((fr > 0).cast("int")).cast("bigint").alias("freq_ratio_nonzero")]
 
 
@@ -161,7 +162,8 @@ def q_encoders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_encoded_frame(spark: SparkSession, sf: str) -> DataFrame:
-    f = _feats(spark, sf)
+    # read twice (encoder fit, then encoding): keep one computed copy
+    f = _feats(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
     enc = encode(f, fit_encoders(f, fe.CAT_COLS), fe.CAT_COLS, ["doc_id", "pos", *INT_NUM_COLS])
     return _by_shape(enc, fe.CAT_COLS)
 
@@ -179,7 +181,7 @@ def _pseudo(chars):
 def _decode_summary(segd, key):
     return segd.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), checksum("pos", "seg").alias("checksum"),
-        F.sum(F.floor(F.col("min_boundary_p") * F.lit(1e6))).cast("bigint").alias("min_p_e6"))
+        fx.mod_sum(F.floor(F.col("min_boundary_p") * F.lit(1e6))).alias("min_p_e6"))
 
 
 def q_allowed_decode(spark: SparkSession, sf: str) -> DataFrame:
@@ -283,8 +285,12 @@ def md5u(x: str) -> str:
     return f"('0x' || substr(md5({x}), 1, 8))::BIGINT"
 
 
+def msum(expr: str) -> str:
+    return f"(sum(({expr})::HUGEINT) % 2305843009213693951)::BIGINT"
+
+
 def cks(*cols: str) -> str:
-    return f"sum({md5u('concat_ws(chr(9), ' + ', '.join(cols) + ')')})::BIGINT"
+    return msum(md5u("concat_ws(chr(9), " + ", ".join(cols) + ")"))
 
 
 def _words_cte(src: str = "documents", key: str = "doc_id", extra: str = ", lang", name: str = "words") -> str:
@@ -429,7 +435,7 @@ def _by_shape_sql(cols, extra="", src="feats") -> str:
             f"{ck} AS checksum{extra} FROM {src} GROUP BY 1, 2")
 
 
-FREQ_SUM_SQL = (", sum(floor(freq_ratio * 1e6))::BIGINT AS freq_ratio_e6, "
+FREQ_SUM_SQL = (", " + msum("floor(freq_ratio * 1e6)::BIGINT") + " AS freq_ratio_e6, "
                 "sum(CASE WHEN freq_ratio > 0 THEN 1 ELSE 0 END)::BIGINT AS freq_ratio_nonzero")
 
 ENC_SQL = ",\npairs AS (" + "\n  UNION ".join(
@@ -470,7 +476,7 @@ decoded AS (
   UNION ALL
   SELECT {key}, pos, word, {RULE_SEG} AS seg, 1.0 AS min_boundary_p FROM {words} WHERE {RULE_PRED})
 SELECT {key}, count(*) AS n, {cks('pos', 'seg')} AS checksum,
-       sum(floor(min_boundary_p * 1e6))::BIGINT AS min_p_e6
+       {msum('floor(min_boundary_p * 1e6)::BIGINT')} AS min_p_e6
 FROM decoded GROUP BY {key}"""
 
 

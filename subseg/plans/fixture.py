@@ -15,10 +15,18 @@ from ..session import table
 from ..sources.corpus import words_from_documents
 
 
+CHECK_MOD = 2305843009213693951  # 2^61 - 1
+
+
+def mod_sum(c: Column) -> Column:
+    """Exact sum (decimal, no overflow at any row count) reduced mod 2^61-1 to BIGINT."""
+    return F.pmod(F.sum(c.cast("decimal(38,0)")), F.lit(CHECK_MOD).cast("decimal(38,0)")).cast("bigint")
+
+
 def checksum(*cols) -> Column:
-    """Order-insensitive content checksum: Σ md5_u32 of the tab-joined row."""
-    return F.sum(md5_u32(F.concat_ws("\t", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
-                                             for c in cols]))).cast("bigint")
+    """Order-insensitive content checksum: Σ md5_u32 of the tab-joined row (mod 2^61-1)."""
+    return mod_sum(md5_u32(F.concat_ws("\t", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+                                                for c in cols])))
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
