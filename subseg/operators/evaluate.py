@@ -41,9 +41,12 @@ def _flag_counts(gb: Column, pb: Column, n: Column) -> tuple[Column, Column, Col
     return tp.cast("int"), fp.cast("int"), fn.cast("int")
 
 
-def row_flags(gold: DataFrame, pred: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Per-row comparison: chars, perfect, tp, fp, fn and an error reason (or NULL)."""
-    j = (gold.select(*key_cols, F.trim(F.regexp_replace("seg", "\r", "")).alias("gold"))
+def row_flags(gold: DataFrame, pred: DataFrame, key_cols: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per-row comparison: chars, perfect, tp, fp, fn and an error reason (or NULL).
+
+    ``carry`` columns of ``gold`` (e.g. a slice label) ride along the one join.
+    """
+    j = (gold.select(*key_cols, *carry, F.trim(F.regexp_replace("seg", "\r", "")).alias("gold"))
          .join(pred.select(*key_cols, F.trim(F.regexp_replace("seg", "\r", "")).alias("pred")), key_cols, "left"))
     g, p = F.col("gold"), F.col("pred")
     gb, pb = boundary_bits(g), boundary_bits(p)
@@ -53,11 +56,11 @@ def row_flags(gold: DataFrame, pred: DataFrame, key_cols: list[str]) -> DataFram
            .when(malformed(g).isNotNull(), F.concat(F.lit("gold_"), malformed(g)))
            .when(malformed(p).isNotNull(), F.concat(F.lit("pred_"), malformed(p)))
            .when(gn != pn, F.lit("char_mismatch")))
-    j = j.select(*key_cols, "gold", "pred", gb.alias("gb"), pb.alias("pb"), gn.alias("gn"), pn.alias("pn"),
+    j = j.select(*key_cols, *carry, "gold", "pred", gb.alias("gb"), pb.alias("pb"), gn.alias("gn"), pn.alias("pn"),
                  err.alias("error"))
     tp, fp, fn = _flag_counts(F.col("gb"), F.col("pb"), F.col("gn"))
     return j.select(
-        *key_cols, "gold", "pred",
+        *key_cols, *carry, "gold", "pred",
         F.col("pn").cast("bigint").alias("chars"),
         (F.col("gold") == F.col("pred")).cast("int").alias("perfect"),
         tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), "error",
@@ -91,10 +94,7 @@ def score(flags: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
 
 def evaluate(gold: DataFrame, pred: DataFrame, key_cols: list[str], group_cols: tuple[str, ...] = ()) -> DataFrame:
     """End-to-end evaluation: one row (per group) of counts and scores."""
-    flags = row_flags(gold, pred, key_cols)
-    if group_cols:
-        flags = flags.join(gold.select(*key_cols, *group_cols), key_cols)
-    return score(flags, group_cols)
+    return score(row_flags(gold, pred, key_cols, carry=tuple(group_cols)), group_cols)
 
 
 def char_accuracy(scored: DataFrame, label_col: str = "label", pred_col: str = "pred") -> DataFrame:

@@ -90,11 +90,13 @@ def char_features(rows: DataFrame, lex_tags: DataFrame, freqs: DataFrame | None,
     maps = lookup_maps(types, lookup_dict(lex_tags, freqs))
 
     nb = lex_tags.select(F.col("word").alias("nb_word"), F.col("tags").alias("nb_tags"))
-    r = rows.join(maps, "word", "left")
-    r = (r.join(nb.withColumnRenamed("nb_word", "prev_word").withColumnRenamed("nb_tags", "prev_tags"),
-                "prev_word", "left")
+    # narrow neighbour-tag joins first; the per-type map (the widest column)
+    # joins last so it is shuffled and sorted only once
+    r = (rows.join(nb.withColumnRenamed("nb_word", "prev_word").withColumnRenamed("nb_tags", "prev_tags"),
+                   "prev_word", "left")
          .join(nb.withColumnRenamed("nb_word", "next_word").withColumnRenamed("nb_tags", "next_tags"),
                "next_word", "left"))
+    r = r.join(maps, "word", "left")
 
     w, m = F.col("word"), F.col("m")
     L = F.length(w)

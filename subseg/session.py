@@ -19,7 +19,11 @@ FIXTURE_TABLES = (
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "subseg") -> SparkSession:
-    """A single-JVM session for tests and the bench (UI off, AQE on)."""
+    """A single-JVM session for tests and the bench (UI off, AQE on).
+
+    The join settings are the ones recommended on a cluster too: static
+    broadcast off, AQE runtime broadcast and skew-join splitting on.
+    """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -27,6 +31,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # No broadcast from planner estimates (they ignore explode fan-out);
+        # AQE converts a join to broadcast only from measured stage sizes.
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
