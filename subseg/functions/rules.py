@@ -77,3 +77,10 @@ def collapse_tag(tag: Column, cfg: SegConfig) -> Column:
         expr = (F.when(tag == src, F.lit(tgt)) if expr is None
                 else expr.when(tag == src, F.lit(tgt)))
     return expr.otherwise(tag)
+
+
+def rare_tag(tag: Column, known: list[str] | None, rare: str) -> Column:
+    """Replace tags outside ``known`` by the ``rare`` tag (B13); no-op without a known set."""
+    if not known:
+        return tag
+    return F.when(tag.isin(list(known)), tag).otherwise(F.lit(rare))

@@ -9,8 +9,10 @@ Plan (one lookup join instead of one probe per feature):
    substring: only hits survive;
 4. hits regrouped per type into ``map<substring, struct<tags, freq>>``
    (bounded by the word's own length);
-5. rows join their type's map, explode one row per character, and every
-   lexicon/frequency feature is a codegen'd ``try_element_at`` on that map.
+5. each type explodes one row per character and reads every lexicon and
+   frequency feature with a codegen'd ``try_element_at`` on its map - once per
+   type, not per token;
+6. tokens join their type's character rows and add the neighbour features.
 
 Neighbour-word tags are plain left joins on the neighbour word.  Callers
 deduplicate rows to ``(prev_word, word, next_word)`` first, so the joins see
@@ -77,38 +79,25 @@ def _freq(m: Column, key: Column) -> Column:
     return F.coalesce(F.try_element_at(m, key).getField("freq"), F.lit(0.0))
 
 
-def char_features(rows: DataFrame, lex_tags: DataFrame, freqs: DataFrame | None, cfg: SegConfig,
-                  seg_col: str | None = None, keep: tuple[str, ...] = (),
-                  tag_col: str | None = None) -> DataFrame:
-    """``rows(word, prev_word, next_word, *keep[, seg])`` -> one row per character.
+INTERNAL_COLS = [c for c in CAT_COLS + NUM_COLS if not c.startswith(("prev_grp", "next_grp"))]
 
-    Output: ``*keep, word, CAT_COLS (STRING), NUM_COLS`` (+ ``label INT`` when
-    ``seg_col`` is given, + ``bert`` when ``tag_col`` is given).
-    """
-    rows = rows.filter(F.length("word") > 0)
-    types = rows.select("word").distinct()
-    maps = lookup_maps(types, lookup_dict(lex_tags, freqs))
 
-    nb = lex_tags.select(F.col("word").alias("nb_word"), F.col("tags").alias("nb_tags"))
-    # narrow neighbour-tag joins first; the per-type map (the widest column)
-    # joins last so it is shuffled and sorted only once
-    r = (rows.join(nb.withColumnRenamed("nb_word", "prev_word").withColumnRenamed("nb_tags", "prev_tags"),
-                   "prev_word", "left")
-         .join(nb.withColumnRenamed("nb_word", "next_word").withColumnRenamed("nb_tags", "next_tags"),
-               "next_word", "left"))
-    r = r.join(maps, "word", "left")
+def type_char_features(types: DataFrame, maps: DataFrame, cfg: SegConfig, has_freqs: bool) -> DataFrame:
+    """Word-internal features, one row per character of each distinct word type.
 
+    Letters, vowels, every lexicon window and the frequency ratio depend on
+    the word alone, so they are computed once per type (Zipf: far fewer
+    types than tokens) and joined to the tokens afterwards.
+    """
+    r = types.join(maps, "word", "left")
     w, m = F.col("word"), F.col("m")
     L = F.length(w)
-    r = r.select("*", F.explode(F.sequence(F.lit(0), L - 1)).alias("idx"))
+    r = r.select("word", "m", F.explode(F.sequence(F.lit(0), L - 1)).alias("idx"))
     i = F.col("idx")
 
     def ch(offset: int) -> Column:
         return F.substring(w, i + 1 + offset, 1)
 
-    def nb_ok(c: str) -> Column:
-        return (F.col(c) != MISSING) & (F.col(c) != "")
-
     cols: dict[str, Column] = {}
     cols["group_in_lex"] = _tag(m, w)
     cols["current_letter"] = letter(ch(0), cfg)
@@ -124,15 +113,8 @@ def char_features(rows: DataFrame, lex_tags: DataFrame, freqs: DataFrame | None,
     remaining = F.substring(w, i + 2, L)
     cols["so_far_pos"] = _tag(m, so_far)
     cols["remaining_pos"] = F.when(i + 1 < L, _tag(m, remaining)).otherwise(MISSING)
-    cols["prev_grp_pos"] = F.when(nb_ok("prev_word"), F.coalesce("prev_tags", F.lit(MISSING))).otherwise(MISSING)
-    cols["next_grp_pos"] = F.when(nb_ok("next_word"), F.coalesce("next_tags", F.lit(MISSING))).otherwise(MISSING)
     cols["remaining_pos_mns1"] = _tag(m, F.substring(w, i + 1, L))
     cols["remaining_pos_mns2"] = _tag(m, F.substring(w, F.greatest(i, F.lit(1)), L))
-    cols["prev_grp_first"] = F.when(nb_ok("prev_word"), F.substring("prev_word", 1, 1)).otherwise(MISSING)
-    cols["prev_grp_last"] = F.when(nb_ok("prev_word"), F.substring("prev_word", -1, 1)).otherwise(MISSING)
-    cols["next_grp_first"] = F.when(nb_ok("next_word"), F.substring("next_word", 1, 1)).otherwise(MISSING)
-    cols["next_grp_last"] = F.when(nb_ok("next_word"), F.substring("next_word", -1, 1)).otherwise(MISSING)
-
     cols["idx"] = i
     cols["len_bound_group"] = L
     cols["current_vowel"] = is_vowel(ch(0), cfg)
@@ -140,18 +122,58 @@ def char_features(rows: DataFrame, lex_tags: DataFrame, freqs: DataFrame | None,
     cols["prev_vowel"] = F.when(i > 0, is_vowel(ch(-1), cfg)).otherwise(-1)
     cols["next_vowel"] = F.when(i < L - 1, is_vowel(ch(1), cfg)).otherwise(-1)
     cols["next_next_vowel"] = F.when(i < L - 2, is_vowel(ch(2), cfg)).otherwise(-1)
-    cols["prev_grp_len"] = F.when(nb_ok("prev_word"), F.length("prev_word")).otherwise(0)
-    cols["next_grp_len"] = F.when(nb_ok("next_word"), F.length("next_word")).otherwise(0)
-    if freqs is None:
+    if not has_freqs:
         cols["freq_ratio"] = F.lit(0.0)
     else:
         cols["freq_ratio"] = (_freq(m, so_far) * F.when(i + 1 < L, _freq(m, remaining)).otherwise(0.0)
                               / (_freq(m, w) + F.lit(1e-10)))
+    return r.select("word", *[cols[c].alias(c) for c in INTERNAL_COLS])
+
+
+def char_features(rows: DataFrame, lex_tags: DataFrame, freqs: DataFrame | None, cfg: SegConfig,
+                  seg_col: str | None = None, keep: tuple[str, ...] = (),
+                  tag_col: str | None = None) -> DataFrame:
+    """``rows(word, prev_word, next_word, *keep[, seg])`` -> one row per character.
+
+    Output: ``*keep, word, CAT_COLS (STRING), NUM_COLS`` (+ ``label INT`` when
+    ``seg_col`` is given, + ``bert`` when ``tag_col`` is given).
+    """
+    rows = rows.filter(F.length("word") > 0)
+    if seg_col is not None:
+        # boundary bits once per word (three regex passes), not once per character
+        rows = rows.withColumn("_bits", boundary_bits(F.col(seg_col)))
+    types = rows.select("word").distinct()
+    maps = lookup_maps(types, lookup_dict(lex_tags, freqs))
+    tchars = type_char_features(types, maps, cfg, freqs is not None)
+
+    nb = lex_tags.select(F.col("word").alias("nb_word"), F.col("tags").alias("nb_tags"))
+    r = (rows.join(nb.withColumnRenamed("nb_word", "prev_word").withColumnRenamed("nb_tags", "prev_tags"),
+                   "prev_word", "left")
+         .join(nb.withColumnRenamed("nb_word", "next_word").withColumnRenamed("nb_tags", "next_tags"),
+               "next_word", "left"))
+    # one-to-many: every token gets its type's character rows (a hot word's
+    # tokens are split across tasks by AQE's skew join)
+    r = r.join(tchars, "word", "inner")
+    i = F.col("idx")
+
+    def nb_ok(c: str) -> Column:
+        return (F.col(c) != MISSING) & (F.col(c) != "")
+
+    cols: dict[str, Column] = {c: F.col(c) for c in INTERNAL_COLS}
+    cols["prev_grp_pos"] = F.when(nb_ok("prev_word"), F.coalesce("prev_tags", F.lit(MISSING))).otherwise(MISSING)
+    cols["next_grp_pos"] = F.when(nb_ok("next_word"), F.coalesce("next_tags", F.lit(MISSING))).otherwise(MISSING)
+    cols["prev_grp_first"] = F.when(nb_ok("prev_word"), F.substring("prev_word", 1, 1)).otherwise(MISSING)
+    cols["prev_grp_last"] = F.when(nb_ok("prev_word"), F.substring("prev_word", -1, 1)).otherwise(MISSING)
+    cols["next_grp_first"] = F.when(nb_ok("next_word"), F.substring("next_word", 1, 1)).otherwise(MISSING)
+    cols["next_grp_last"] = F.when(nb_ok("next_word"), F.substring("next_word", -1, 1)).otherwise(MISSING)
+    cols["prev_grp_len"] = F.when(nb_ok("prev_word"), F.length("prev_word")).otherwise(0)
+    cols["next_grp_len"] = F.when(nb_ok("next_word"), F.length("next_word")).otherwise(0)
 
-    out = [*[k for k in keep if k != "word"], "word", *[cols[c].alias(c) for c in CAT_COLS], *[cols[c].alias(c) for c in NUM_COLS]]
+    out = [*[k for k in keep if k != "word"], "word", *[cols[c].alias(c) for c in CAT_COLS],
+           *[cols[c].alias(c) for c in NUM_COLS]]
     if tag_col is not None:
         t = F.coalesce(F.col(tag_col), F.lit("O"))
         out.append(F.when(t == "CDO", F.lit("X")).otherwise(t).alias("bert"))
     if seg_col is not None:
-        out.append(bit_at(boundary_bits(F.col(seg_col)), i).alias("label"))
+        out.append(bit_at(F.col("_bits"), i).alias("label"))
     return r.select(*out)
