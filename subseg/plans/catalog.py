@@ -185,13 +185,19 @@ def _decode_summary(segd, key):
 
 
 def q_allowed_decode(spark: SparkSession, sf: str) -> DataFrame:
+    segd = dec.segment_with(fx.words(spark, sf), ["doc_id", "pos"], CFG, proba_array_fn=dec.pseudo_proba_array)
+    return _decode_summary(segd, "doc_id")
+
+
+def q_char_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """Same decode through exploded character rows and the per-word regroup (model path)."""
     segd = dec.segment_with(fx.words(spark, sf), ["doc_id", "pos"], CFG, _pseudo)
     return _decode_summary(segd, "doc_id")
 
 
 def q_benchmark_decode(spark: SparkSession, sf: str) -> DataFrame:
     w = words_with_context(table(spark, sf, "benchmark"), "item_id", predict=True)
-    segd = dec.segment_with(w, ["item_id", "pos"], CFG, _pseudo)
+    segd = dec.segment_with(w, ["item_id", "pos"], CFG, proba_array_fn=dec.pseudo_proba_array)
     return _decode_summary(segd, "item_id")
 
 
@@ -267,6 +273,7 @@ SPARK_QUERIES = {
     "encoded_frame": q_encoded_frame,
     "regex_rules": q_regex_rules,
     "allowed_decode": q_allowed_decode,
+    "char_decode": q_char_decode,
     "benchmark_decode": q_benchmark_decode,
     "segments_long": q_segments_long,
     "sentence_chunks": q_sentence_chunks,
@@ -582,6 +589,7 @@ ORACLE_SQL = {
     "regex_rules": f"WITH {WORDS}\nSELECT lang, count(*) AS n, {cks('doc_id', 'pos', 'seg')} AS checksum FROM "
                    f"(SELECT lang, doc_id, pos, {RULE_SEG} AS seg FROM words WHERE {RULE_PRED}) GROUP BY lang",
     "allowed_decode": f"WITH {WORDS}{_decode_sql('words', 'doc_id')}",
+    "char_decode": f"WITH {WORDS}{_decode_sql('words', 'doc_id')}",
     "benchmark_decode": f"WITH {_words_cte('benchmark', 'item_id', '', 'bw')}{_decode_sql('bw', 'item_id')}",
     "segments_long": f"WITH {SEGS_LONG}\nSELECT lang, seg_idx::BIGINT AS seg_idx, count(*) AS n, "
                      f"{cks('doc_id', 'pos', 'segment')} AS checksum FROM sx GROUP BY 1, 2",

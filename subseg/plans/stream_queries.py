@@ -22,7 +22,8 @@ def q_stream_segment(spark: SparkSession, sf: str) -> DataFrame:
     src = table_stream(spark, sf, "documents")
 
     def seg(batch: DataFrame) -> DataFrame:
-        return dec.segment_with(words_from_documents(batch), ["doc_id", "pos"], CFG, _pseudo)
+        return dec.segment_with(words_from_documents(batch), ["doc_id", "pos"], CFG,
+                                proba_array_fn=dec.pseudo_proba_array)
 
     out = run_segment_stream(spark, src, seg, scratch_path(spark, "stream-seg"), scratch_path(spark, "stream-seg-ckpt"))
     return _decode_summary(spark.read.parquet(out).drop("batch_id"), "doc_id")
