@@ -130,6 +130,34 @@ def type_char_features(types: DataFrame, maps: DataFrame, cfg: SegConfig, has_fr
     return r.select("word", *[cols[c].alias(c) for c in INTERNAL_COLS])
 
 
+CONTEXT_COLS = [c for c in CAT_COLS + NUM_COLS if c not in INTERNAL_COLS]
+
+
+def token_context(rows: DataFrame, lex_tags: DataFrame) -> DataFrame:
+    """Neighbour-word features, once per token row (before any per-char fan-out)."""
+    nb = lex_tags.select(F.col("word").alias("nb_word"), F.col("tags").alias("nb_tags"))
+    r = (rows.join(nb.withColumnRenamed("nb_word", "prev_word").withColumnRenamed("nb_tags", "prev_tags"),
+                   "prev_word", "left")
+         .join(nb.withColumnRenamed("nb_word", "next_word").withColumnRenamed("nb_tags", "next_tags"),
+               "next_word", "left"))
+
+    def nb_ok(c: str) -> Column:
+        return (F.col(c) != MISSING) & (F.col(c) != "")
+
+    cols = {
+        "prev_grp_pos": F.when(nb_ok("prev_word"), F.coalesce("prev_tags", F.lit(MISSING))).otherwise(MISSING),
+        "next_grp_pos": F.when(nb_ok("next_word"), F.coalesce("next_tags", F.lit(MISSING))).otherwise(MISSING),
+        "prev_grp_first": F.when(nb_ok("prev_word"), F.substring("prev_word", 1, 1)).otherwise(MISSING),
+        "prev_grp_last": F.when(nb_ok("prev_word"), F.substring("prev_word", -1, 1)).otherwise(MISSING),
+        "next_grp_first": F.when(nb_ok("next_word"), F.substring("next_word", 1, 1)).otherwise(MISSING),
+        "next_grp_last": F.when(nb_ok("next_word"), F.substring("next_word", -1, 1)).otherwise(MISSING),
+        "prev_grp_len": F.when(nb_ok("prev_word"), F.length("prev_word")).otherwise(0),
+        "next_grp_len": F.when(nb_ok("next_word"), F.length("next_word")).otherwise(0),
+    }
+    keep = [c for c in r.columns if c not in ("prev_tags", "next_tags")]
+    return r.select(*keep, *[cols[c].alias(c) for c in CONTEXT_COLS])
+
+
 def char_features(rows: DataFrame, lex_tags: DataFrame, freqs: DataFrame | None, cfg: SegConfig,
                   seg_col: str | None = None, keep: tuple[str, ...] = (),
                   tag_col: str | None = None) -> DataFrame:
@@ -145,35 +173,29 @@ def char_features(rows: DataFrame, lex_tags: DataFrame, freqs: DataFrame | None,
     types = rows.select("word").distinct()
     maps = lookup_maps(types, lookup_dict(lex_tags, freqs))
     tchars = type_char_features(types, maps, cfg, freqs is not None)
-
-    nb = lex_tags.select(F.col("word").alias("nb_word"), F.col("tags").alias("nb_tags"))
-    r = (rows.join(nb.withColumnRenamed("nb_word", "prev_word").withColumnRenamed("nb_tags", "prev_tags"),
-                   "prev_word", "left")
-         .join(nb.withColumnRenamed("nb_word", "next_word").withColumnRenamed("nb_tags", "next_tags"),
-               "next_word", "left"))
     # one-to-many: every token gets its type's character rows (a hot word's
     # tokens are split across tasks by AQE's skew join)
-    r = r.join(tchars, "word", "inner")
-    i = F.col("idx")
-
-    def nb_ok(c: str) -> Column:
-        return (F.col(c) != MISSING) & (F.col(c) != "")
+    r = token_context(rows, lex_tags).join(tchars, "word", "inner")
 
-    cols: dict[str, Column] = {c: F.col(c) for c in INTERNAL_COLS}
-    cols["prev_grp_pos"] = F.when(nb_ok("prev_word"), F.coalesce("prev_tags", F.lit(MISSING))).otherwise(MISSING)
-    cols["next_grp_pos"] = F.when(nb_ok("next_word"), F.coalesce("next_tags", F.lit(MISSING))).otherwise(MISSING)
-    cols["prev_grp_first"] = F.when(nb_ok("prev_word"), F.substring("prev_word", 1, 1)).otherwise(MISSING)
-    cols["prev_grp_last"] = F.when(nb_ok("prev_word"), F.substring("prev_word", -1, 1)).otherwise(MISSING)
-    cols["next_grp_first"] = F.when(nb_ok("next_word"), F.substring("next_word", 1, 1)).otherwise(MISSING)
-    cols["next_grp_last"] = F.when(nb_ok("next_word"), F.substring("next_word", -1, 1)).otherwise(MISSING)
-    cols["prev_grp_len"] = F.when(nb_ok("prev_word"), F.length("prev_word")).otherwise(0)
-    cols["next_grp_len"] = F.when(nb_ok("next_word"), F.length("next_word")).otherwise(0)
-
-    out = [*[k for k in keep if k != "word"], "word", *[cols[c].alias(c) for c in CAT_COLS],
-           *[cols[c].alias(c) for c in NUM_COLS]]
+    out = [*[k for k in keep if k != "word"], "word", *CAT_COLS, *NUM_COLS]
     if tag_col is not None:
         t = F.coalesce(F.col(tag_col), F.lit("O"))
         out.append(F.when(t == "CDO", F.lit("X")).otherwise(t).alias("bert"))
     if seg_col is not None:
-        out.append(bit_at(F.col("_bits"), i).alias("label"))
+        out.append(bit_at(F.col("_bits"), F.col("idx")).alias("label"))
     return r.select(*out)
+
+
+def feature_value_frames(rows: DataFrame, lex_tags: DataFrame, freqs: DataFrame | None,
+                         cfg: SegConfig) -> tuple[DataFrame, DataFrame]:
+    """The two small frames whose value sets equal the character frame's.
+
+    Word-internal columns take the same values over the distinct types'
+    character rows as over every token's; neighbour columns the same over
+    token rows as over their characters.  Encoders fitted on these see every
+    value while reading ~types x length and tokens rows, not tokens x length.
+    """
+    rows = rows.filter(F.length("word") > 0)
+    types = rows.select("word").distinct()
+    tchars = type_char_features(types, lookup_maps(types, lookup_dict(lex_tags, freqs)), cfg, freqs is not None)
+    return tchars, token_context(rows, lex_tags)

@@ -23,7 +23,7 @@ from ..operators import decode as dec
 from ..operators import evaluate as ev
 from ..operators import features as fe
 from ..operators import lexicon as lx
-from ..operators.encode import encode, fit_encoders
+from ..operators.encode import encode, fit_encoders, fit_encoders_from_parts
 from ..operators.silver import silver_seg
 from ..session import table
 from ..sources.corpus import words_from_turns, words_with_context
@@ -157,14 +157,23 @@ def q_feature_frame(spark: SparkSession, sf: str) -> DataFrame:
     return _by_shape(_feats(spark, sf, seg=True), fe.CAT_COLS + INT_NUM_COLS + ["label"], _freq_sum())
 
 
+def _fitted_encoders(spark, sf):
+    """Encoders fitted on the type-level and token-level value frames."""
+    parts = fe.feature_value_frames(fx.words(spark, sf), fx.lexicon(spark, sf), fx.freqs(spark, sf), CFG)
+    return fit_encoders_from_parts(*parts, fe.CAT_COLS)
+
+
 def q_encoders(spark: SparkSession, sf: str) -> DataFrame:
+    return _fitted_encoders(spark, sf)
+
+
+def q_encoders_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The same dictionary fitted by unpivoting the whole character frame."""
     return fit_encoders(_feats(spark, sf), fe.CAT_COLS)
 
 
 def q_encoded_frame(spark: SparkSession, sf: str) -> DataFrame:
-    # read twice (encoder fit, then encoding): keep one computed copy
-    f = _feats(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
-    enc = encode(f, fit_encoders(f, fe.CAT_COLS), fe.CAT_COLS, ["doc_id", "pos", *INT_NUM_COLS])
+    enc = encode(_feats(spark, sf), _fitted_encoders(spark, sf), fe.CAT_COLS, ["doc_id", "pos", *INT_NUM_COLS])
     return _by_shape(enc, fe.CAT_COLS)
 
 
@@ -270,6 +279,7 @@ SPARK_QUERIES = {
     "freq_ratio": q_freq_ratio,
     "feature_frame": q_feature_frame,
     "encoders": q_encoders,
+    "encoders_full": q_encoders_full,
     "encoded_frame": q_encoded_frame,
     "regex_rules": q_regex_rules,
     "allowed_decode": q_allowed_decode,
@@ -585,6 +595,7 @@ ORACLE_SQL = {
     "feature_frame": f"WITH {_feats_cte(True)},\nfl AS (SELECT *, substr({_bits('seg')}, idx + 1, 1)::INTEGER AS label "
                      f"FROM feats)\n{_by_shape_sql(fe.CAT_COLS + INT_NUM_COLS + ['label'], FREQ_SUM_SQL, 'fl')}",
     "encoders": f"WITH {_feats_cte()}{ENC_SQL}\nSELECT col, value, code FROM enc",
+    "encoders_full": f"WITH {_feats_cte()}{ENC_SQL}\nSELECT col, value, code FROM enc",
     "encoded_frame": f"WITH {_feats_cte()}{ENC_SQL}{ENCODED_SQL}\n{_by_shape_sql(fe.CAT_COLS, '', 'encoded')}",
     "regex_rules": f"WITH {WORDS}\nSELECT lang, count(*) AS n, {cks('doc_id', 'pos', 'seg')} AS checksum FROM "
                    f"(SELECT lang, doc_id, pos, {RULE_SEG} AS seg FROM words WHERE {RULE_PRED}) GROUP BY lang",

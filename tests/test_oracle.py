@@ -8,7 +8,7 @@ from conftest import SF_SMALL
 
 FAST = ["words", "turn_words", "silver_segs", "boundary_bits", "align_check", "lexicon_tags", "freq_norm",
         "split_hash", "train_freqs", "prune_lexicon", "letter_feats", "lexicon_feats", "freq_ratio",
-        "regex_rules", "allowed_decode", "char_decode", "benchmark_decode", "segments_long", "sentence_chunks", "eval_prf",
+        "regex_rules", "allowed_decode", "char_decode", "encoders", "benchmark_decode", "segments_long", "sentence_chunks", "eval_prf",
         "eval_by_quality", "char_accuracy", "unit_ranges", "superpos", "affix_labels", "pos_labels",
         "morph_filter", "sentence_split", "pred_formats", "stream_freq"]
 
