@@ -61,3 +61,13 @@ def test_segment_with_unions_rule_and_model_rows(spark):
     out = {r.pos: r.seg for r in segment_with(df, ["pos"], LATIN, lambda c: c.withColumn(
         "p", F.when(F.col("idx").isin(1, 3), 0.9).otherwise(0.1))).collect()}
     assert out == {0: "reading|,", 1: "re|ad|ing", 2: "x"}
+
+
+def test_restrict_positions_keeps_full_context(spark):
+    from subseg.operators.context import restrict_positions
+    from subseg.sources.corpus import words_with_context
+    docs = spark.createDataFrame([(1, "a bb ccc dddd")], "doc_id long, text string")
+    w = words_with_context(docs, "doc_id")
+    pos = spark.createDataFrame([(1, 2)], "doc_id long, pos int")
+    r = restrict_positions(w, pos, ["doc_id", "pos"]).collect()
+    assert [(x.word, x.prev_word, x.next_word) for x in r] == [("ccc", "bb", "dddd")]
