@@ -1,26 +1,54 @@
-"""Evaluator against the published counts of the shipped gold/prediction pairs."""
+"""Evaluator against the published counts of the shipped gold/prediction pairs.
+
+Pairs are found by rule (``<x>_pred.tab`` in the predictions folder, gold
+``<x>_gold.tab`` or ``<x>.tab`` in the data folder); expected counts are
+keyed by the pair's row count.
+"""
+import glob
 import os
 
 import pytest
 
-from conftest import REF_DATA
+from conftest import ref_dirs
 from subseg.operators.evaluate import evaluate
 from subseg.sources.tables import read_pred_lines
 
-GOLDEN = [
-    ("data/SPMRL_test_gold.tab", "pred/SPMRL_test_pred.tab", 12740, 50763, 12636, 4137, 48, 57),
-    ("data/Wiki5K_test_gold.tab", "pred/Wiki5K_test_pred.tab", 5066, 21231, 5019, 1786, 27, 28),
-    ("data/ara_test.tab", "pred/ara_test_pred.tab", 24123, 110026, 23754, 10099, 262, 129),
-    ("data/cop_test.tab", "pred/cop_test_pred.tab", 4209, 23394, 4007, 4603, 95, 173),
-]
+# rows -> (chars, perfect, tp, fp, fn), as published
+EXPECTED = {
+    12740: (50763, 12636, 4137, 48, 57),
+    5066: (21231, 5019, 1786, 27, 28),
+    24123: (110026, 23754, 10099, 262, 129),
+    4209: (23394, 4007, 4603, 95, 173),
+}
+
+
+def _pairs():
+    out = []
+    for pred_dir, data_dir in zip(ref_dirs("pred"), ref_dirs("data")):
+        for pred in sorted(glob.glob(os.path.join(pred_dir, "*_pred.tab"))):
+            stem = os.path.basename(pred)[:-len("_pred.tab")]
+            for cand in (f"{stem}_gold.tab", f"{stem}.tab"):
+                gold = os.path.join(data_dir, cand)
+                if os.path.exists(gold):
+                    out.append((gold, pred))
+                    break
+    return out
+
+
+PAIRS = _pairs()
+
+
+@pytest.mark.skipif(not PAIRS, reason="reference data not available")
+def test_all_pairs_found():
+    assert len(PAIRS) == len(EXPECTED)
 
 
-@pytest.mark.skipif(not os.path.isdir(REF_DATA), reason="reference data not available")
-@pytest.mark.parametrize("gold,pred,rows,chars,perfect,tp,fp,fn", GOLDEN)
-def test_golden_scores(spark, gold, pred, rows, chars, perfect, tp, fp, fn):
-    g = read_pred_lines(spark, os.path.join(REF_DATA, gold), column=1).select("pos", "seg")
-    p = read_pred_lines(spark, os.path.join(REF_DATA, pred)).select("pos", "seg")
+@pytest.mark.parametrize("gold,pred", PAIRS)
+def test_golden_scores(spark, gold, pred):
+    g = read_pred_lines(spark, gold, column=1).select("pos", "seg")
+    p = read_pred_lines(spark, pred).select("pos", "seg")
     r = evaluate(g, p, ["pos"]).first()
-    assert (r.rows, r.chars, r.perfect, r.tp, r.fp, r.fn, r.errors) == (rows, chars, perfect, tp, fp, fn, 0)
+    chars, perfect, tp, fp, fn = EXPECTED[r.rows]
+    assert (r.chars, r.perfect, r.tp, r.fp, r.fn, r.errors) == (chars, perfect, tp, fp, fn, 0)
     assert r.precision == pytest.approx(tp / (tp + fp))
     assert r.f_score == pytest.approx(2 * r.precision * r.recall / (r.precision + r.recall))
