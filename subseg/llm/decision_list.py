@@ -1,7 +1,7 @@
 """Quality rules: a decision list learned by sequential covering, applied as Spark conditional expressions.
 
 Learning looks at labelled rows' statistics only, never at texts. A bounded
-sample (``max_rows``, taken by the smallest crc32 of the id, so it is the same
+sample (about ``max_rows``, by the crc32 of the id, so it is the same
 on every run and every partitioning) is split into a growing and a pruning
 part. A rule starts empty; the threshold condition with the best FOIL gain is added
 until no negative (kept) row is covered, then conditions are dropped from the
@@ -132,14 +132,17 @@ def as_column(rules: list[Rule]) -> Column:
 
 
 def sample_labelled(stats: DataFrame, labels: DataFrame, max_rows: int, label: str = "quality") -> DataFrame:
-    """At most ``max_rows`` labelled statistics, those with the smallest (crc32, id)."""
+    """About ``max_rows`` labelled statistics at most: ids whose crc32 lies below a bound that the count of labels sets."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{label}`").alias("label")).where("label is not null and doc_id is not null")
     y = y.groupBy("doc_id").agg(F.min("label").alias("label"))
-    return stats.join(y, "doc_id").orderBy("held_key", "doc_id", *RATIOS).limit(max_rows)
+    below = min(1 << 32, (1 << 32) * max_rows // max(y.count(), 1))
+    y = y.where(F.crc32(F.col("doc_id").cast("string")) < below)
+    # a repeated id counts once, by its smallest statistics
+    return stats.where(F.col("held_key") < below).join(y, "doc_id").groupBy("doc_id").agg(*[F.min(c).alias(c) for c in ("held_key", *FEATURES, "label")])
 
 
 def learn_rules(stats: DataFrame, labels: DataFrame, max_rows: int = 20_000, **kw) -> list[Rule]:
-    rows = sample_labelled(stats, labels, max_rows).select(*FEATURES, "label").toPandas()
+    rows = sample_labelled(stats, labels, max_rows).toPandas().sort_values(["held_key", "doc_id"])
     x = rows[list(FEATURES)].to_numpy(np.float64)
     reject = rows["label"].to_numpy() == 0
     return learn(x, reject, FEATURES, **kw) if len(x) else []

@@ -9,7 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Python workers find this package where the driver did; a cluster ships it with ``--py-files``."""
+    env = spark.sparkContext.environment
+    if ROOT not in (have := env.get("PYTHONPATH", "").split(os.pathsep)):
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
@@ -39,8 +46,63 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from subseg.llm.license_scan import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), out_col="found")
+    return found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.license", "f.template", "f.first_shingle", "f.containment")
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from subseg.llm.lm_scoring import score_documents
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from subseg.llm.block_labeller import extract_text
+
+    out = extract_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from subseg.llm.unigram_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from subseg.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from subseg.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from subseg.llm.bm25_decontam import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_quality_classifier, op7_quality_rules, op8_secret_scan)
-}
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_lm_score, op3_html_text, op4_token_counts, op5_quality_classifier,
+        op6_packing, op7_quality_rules, op8_secret_scan, op9_jaccard_join, op10_benchmark_leaks,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

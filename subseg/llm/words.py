@@ -131,12 +131,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weight:
     return out
 
 
-def words_of(col: pa.Array, lower: bool = False) -> Words:
+def words_of(col: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> Words:
+    """Words of each row; ``space`` marks the bytes that separate them."""
     data, offs = text_buffers(col)
     if lower:
         data = LOWER[data]
-    starts, ends = word_spans(data, offs)
-    return Words(data, offs, starts, ends, np.searchsorted(starts, offs), span_hashes(data, starts, ends))
+    starts, ends = word_spans(data, offs, space)
+    weight = _BYTE if space is SPACE else np.where(space, U(0), _BYTE)
+    return Words(data, offs, starts, ends, np.searchsorted(starts, offs), span_hashes(data, starts, ends, weight))
 
 
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
