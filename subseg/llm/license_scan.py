@@ -56,6 +56,11 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+def _once(value: Column) -> Column:
+    """The value itself, behind a generator: filters that a caller puts on results then don't copy the whole expression below."""
+    return F.explode_outer(F.array(value))
+
+
 def shingles(text: Column) -> Column:
     """Hashes of all runs of five words, in order; shorter texts have none."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda w: w != "")
@@ -141,7 +146,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, text_col: str = "text",
     by = {k: [t for t in parts if t.kind == k] for k in ("tiny", "short", "long")}
     own = [F.col(f"`{c}`") for c in docs.columns if c != out_col]
     kind = "array<struct<license:string,template:int,first_shingle:int,containment:double>>"
-    df = docs.select(*own, shingles(F.col(f"`{text_col}`")).alias("__s"))
+    df = docs.select(*own, _once(shingles(F.col(f"`{text_col}`"))).alias("__s"))
     s = F.col("__s")
 
     tile_count = F.ceil(F.size(s) / TILE).cast("int")
@@ -194,4 +199,4 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, text_col: str = "text",
         F.col("__found"),
         lambda r: ~F.exists("__found", lambda o: (o["template"] == r["template"]) & ((o["containment"] > r["containment"]) | ((o["containment"] == r["containment"]) & (o["first_shingle"] < r["first_shingle"])))),
     )
-    return df.select(*own, F.array_sort(F.array_distinct(best)).alias(out_col))
+    return df.select(*own, _once(F.array_sort(F.array_distinct(best))).alias(out_col))

@@ -56,7 +56,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from subseg.llm.license_scan import scan_licenses
 
     found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), out_col="found")
-    return found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.license", "f.template", "f.first_shingle", "f.containment")
+    return found.select("doc_id", F.explode_outer("found").alias("f")).where("f is not null").select("doc_id", "f.license", "f.template", "f.first_shingle", "f.containment")
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
