@@ -47,7 +47,7 @@ def _unpack_at(packed: np.ndarray, width: int, i: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A monotone sequence: low bits packed, high bits in unary; ``find`` is a successor search in a high bucket."""
+    """A monotone sequence: low bits packed, high bits in unary; ``find`` is a successor search: bisection in the bucket of the high bits."""
 
     def __init__(self, n: int, width: int, low: np.ndarray, upper: np.ndarray):
         self.n, self.width, self.low, self.upper = n, width, low, upper
@@ -83,19 +83,19 @@ class EliasFano:
         top = U(len(self.start) - 1)
         out_of = high >= top
         h = np.where(out_of, U(0), high).astype(np.int64)
-        at, end = self.start[h], self.start[h + 1]
-        at, end = np.where(out_of, self.n, at), np.where(out_of, self.n, end)
+        lo, end = np.where(out_of, self.n, self.start[h]), np.where(out_of, self.n, self.start[h + 1])
         target = values & U((1 << self.width) - 1)
-        equal = np.zeros(len(values), bool)
-        live = np.flatnonzero(at < end)
+        hi = end.copy()
+        live = np.flatnonzero(lo < hi)
         while len(live):
-            low = _unpack_at(self.low, self.width, at[live])
-            equal[live[low == target[live]]] = True
-            on = low < target[live]
-            live = live[on]
-            at[live] += 1
-            live = live[at[live] < end[live]]
-        return at, equal
+            mid = (lo[live] + hi[live]) >> 1
+            less = _unpack_at(self.low, self.width, mid) < target[live]
+            lo[live[less]] = mid[less] + 1
+            hi[live[~less]] = mid[~less]
+            live = live[lo[live] < hi[live]]
+        equal = lo < end
+        equal[equal] = _unpack_at(self.low, self.width, lo[equal]) == target[equal]
+        return lo, equal
 
 
 class Ranges:

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from subseg.llm.stats import RATIOS, document_stats
+from subseg.llm import words as W
+from subseg.llm.stats import RATIOS, batch_stats, document_stats
 from subseg.llm.store import stored
 
 N_FEATURES = 256
@@ -155,3 +156,20 @@ def score_documents(docs: DataFrame, labels: DataFrame, train, id_col: str = "do
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(_matrix(b, names)) if b.num_rows else np.zeros(0))], names=[*b.schema.names, "score"])
 
     return stats.mapInArrow(score, T.StructType([*stats.schema.fields, T.StructField("score", T.DoubleType())])), model
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, train, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", **kw) -> DataFrame:
+    """``docs`` whose score is at least ``least``; rows are dropped where they are, texts aren't shuffled. Without labels all stay."""
+    _, model = score_documents(docs, labels, train, id_col, text_col, label, **kw)
+    if not len(model.values):
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in W.slices(batch, text_col):
+                part = batch.slice(lo, hi - lo)
+                stats = batch_stats(part.column(part.schema.get_field_index(text_col)))
+                score = model.score(np.stack([stats[c] for c in RATIOS], axis=1).astype(np.float64))
+                yield part.filter(pa.array(score >= least))
+
+    return docs.mapInArrow(run, docs.schema)

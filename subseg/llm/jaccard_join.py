@@ -138,8 +138,9 @@ def _summary(docs: DataFrame, bits: int) -> DataFrame:
 
 
 def _levels(parts: DataFrame, bits: int, total: int) -> np.ndarray:
-    """One byte a bucket: 0 up to four times the mean count, then a level each doubling."""
+    """One byte a bucket: 0 within four standard deviations of the mean count, then a level each doubling."""
     mean = total / (1 << bits)
+    step = 4 * np.sqrt(mean) + 1
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = None
@@ -148,10 +149,10 @@ def _levels(parts: DataFrame, bits: int, total: int) -> np.ndarray:
                 raw = np.frombuffer(x.as_py(), np.uint8).reshape(4, -1)
                 part = np.ascontiguousarray(raw.T).view(np.uint32).ravel().astype(np.int64)
                 counts = part if counts is None else counts + part
-        level = np.clip(np.floor(np.log2(np.maximum(counts, 1) / (2 * mean + 4))), 0, 15).astype(np.uint8)
+        level = np.clip(np.floor(np.log2(np.maximum((counts - mean) / step, 0.5))) + 1, 0, 15).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "level"])
 
-    out = np.zeros(1 << bits, np.uint8)
+    out = np.zeros(1 << bits, np.uint8)  # buckets without a count stay at level 0
     size = min(SKETCH_CHUNK, 1 << bits)
     for r in parts.groupBy("chunk").applyInArrow(add, "chunk int, level binary").collect():  # 2**bits bytes at most
         out[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["level"], np.uint8)
@@ -323,11 +324,17 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, by full overlap."""
-    one = sets.select(F.col("set_id").alias("a"), F.col("items").alias("x"))
-    two = sets.select(F.col("set_id").alias("b"), F.col("items").alias("y"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b")
-    return both.where((NUM + DEN) * F.size(F.array_intersect("x", "y")) >= NUM * (F.size("x") + F.size("y"))).select("a", "b")
+    """The pairs (a, b) that reach the threshold, by full overlap; only sets that a pair names are moved."""
+    pairs = stored(pairs.select("a", "b"), "candidates")
+    named = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
+    n = named.count()
+    if not n:
+        return pairs
+    needed = sets.join(F.broadcast(named), "set_id", "left_semi") if n <= BROADCAST_IDS else sets.join(named, "set_id", "left_semi")
+    one = needed.select(F.col("set_id").alias("a"), F.col("items").alias("x"))
+    two = needed.select(F.col("set_id").alias("b"), F.col("items").alias("y"))
+    both = pairs.join(one, "a").join(two, "b")
+    return stored(both.where((NUM + DEN) * F.size(F.array_intersect("x", "y")) >= NUM * (F.size("x") + F.size("y"))).select("a", "b"), "links")
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -360,9 +367,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # a set's first partner decides whether the others need a look
     nodes = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).union(long_lists.select(F.col("a").alias("set_id"))).distinct()
     full = _full_sets(narrow, sets.join(nodes, "set_id"))
-    links = stored(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")), full), "links")
+    links = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")), full)
     roots = connected_components(links)
-    more = stored(_verified(_across(pairs, roots), full), "links")
+    more = _verified(_across(pairs, roots), full)
     if more.head(1):
         links = links.union(more)
         roots = connected_components(links)
@@ -370,7 +377,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = long_lists.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     mixed = named.groupBy("list").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("list")
     left = named.join(mixed, "list", "left_semi").groupBy("list").applyInArrow(_list_pairs, "a long, b long").distinct()
-    more = stored(_verified(left, full), "links")
+    more = _verified(left, full)
     if more.head(1):
         links = links.union(more)
         roots = connected_components(links)
@@ -380,3 +387,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by_set = found.join(named, "root").select("set_id", "component_id")
     out = per_doc.join(by_set, "set_id", "left")
     return out.select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id. Rows without an id stay."""
+    found = stored(jaccard_components(docs, id_col, text_col).select("doc_id", "component_id"), "components")
+    key = F.col(f"`{id_col}`").cast("long")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.join(gone, key == F.col("__gone"), "left_anti")
+    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__again"))
+    if not repeated.head(1):
+        return kept
+    # an id that stands in several rows: one of its rows
+    rest = kept.join(repeated, key == F.col("__again"), "left_anti")
+    return rest.unionByName(kept.join(repeated, key == F.col("__again"), "left_semi").dropDuplicates([id_col]))
