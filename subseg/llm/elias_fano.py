@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import mmap
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -51,11 +52,14 @@ class EliasFano:
 
     def __init__(self, n: int, width: int, low: np.ndarray, upper: np.ndarray):
         self.n, self.width, self.low, self.upper = n, width, low, upper
-        # directory: where each bucket of high bits begins
-        bits = np.unpackbits(upper, bitorder="little")
-        zeros = np.flatnonzero(bits == 0)
-        self.start = np.concatenate([[0], zeros - np.arange(len(zeros))]).astype(np.int64)
-        self.start = np.minimum(self.start, n)
+
+    @cached_property
+    def start(self) -> np.ndarray:
+        """Directory, made when first asked: where each bucket of high bits begins."""
+        zeros = np.flatnonzero(np.unpackbits(self.upper, bitorder="little") == 0)
+        zeros -= np.arange(len(zeros))
+        kind = np.int32 if self.n < 1 << 31 else np.int64
+        return np.concatenate([np.zeros(1, kind), np.minimum(zeros, self.n).astype(kind)])
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -83,7 +87,7 @@ class EliasFano:
         top = U(len(self.start) - 1)
         out_of = high >= top
         h = np.where(out_of, U(0), high).astype(np.int64)
-        lo, end = np.where(out_of, self.n, self.start[h]), np.where(out_of, self.n, self.start[h + 1])
+        lo, end = (np.where(out_of, self.n, self.start[x]).astype(np.int64) for x in (h, h + 1))
         target = values & U((1 << self.width) - 1)
         hi = end.copy()
         live = np.flatnonzero(lo < hi)
