@@ -75,7 +75,3 @@ def aligned(word: Column, seg: Column) -> Column:
     ok_len = F.length(word) == F.length(F.regexp_replace(seg, r"\|", ""))
     pipe_word = (word == PIPE) & (seg == PIPE)
     return (pipe_word | ((word != PIPE) & ok_len & malformed(seg).isNull()))
-
-
-def strip_cr(c: Column) -> Column:
-    return F.regexp_replace(c, "\r", "")

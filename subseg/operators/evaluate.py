@@ -7,75 +7,90 @@ aggregate (partial per task, final on one row) yields the scores.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.segstr import boundary_bits, malformed
 
 
-def _flag_count_scan(gb: Column, pb: Column, n: Column, g: str, p: str) -> Column:
-    """Positions 1..n-1 (last char excluded) where gold bit = g and pred bit = p."""
-    return F.when(n > 1, F.size(F.filter(
-        F.sequence(F.lit(1), n - 1),
-        lambda k: (F.substring(gb, k, 1) == g) & (F.substring(pb, k, 1) == p)))).otherwise(0)
+MASK_BITS = 62  # flags compared at a time
 
 
-MASK_BITS = 62
+def _ones(bits: Column) -> Column:
+    return F.length(F.replace(bits, F.lit("0"), F.lit("")))
 
 
 def _flag_counts(gb: Column, pb: Column, n: Column) -> tuple[Column, Column, Column]:
-    """(tp, fp, fn) over positions 1..n-1.
+    """(tp, fp, fn) over positions 1..n-1, for words of any length.
 
-    Words of up to 63 characters read their flag strings as 62-bit integers
-    and count with ``bit_count`` (codegen'd arithmetic); longer words fall
-    back to a per-position scan.
+    Flag strings are read ``MASK_BITS`` at a time as integers whose common
+    bits ``bit_count`` counts.
     """
     k = n - 1
-    g = F.conv(F.substring(gb, 1, k), 2, 10).cast("bigint")
-    p = F.conv(F.substring(pb, 1, k), 2, 10).cast("bigint")
-    both = F.bit_count(g.bitwiseAND(p))
-    short = (n > 1) & (n <= MASK_BITS + 1)
-    tp = F.when(n <= 1, 0).when(short, both).otherwise(_flag_count_scan(gb, pb, n, "1", "1"))
-    fp = F.when(n <= 1, 0).when(short, F.bit_count(p) - both).otherwise(_flag_count_scan(gb, pb, n, "0", "1"))
-    fn = F.when(n <= 1, 0).when(short, F.bit_count(g) - both).otherwise(_flag_count_scan(gb, pb, n, "1", "0"))
-    return tp.cast("int"), fp.cast("int"), fn.cast("int")
+    g, p = F.substring(gb, F.lit(1), k), F.substring(pb, F.lit(1), k)
+    part = lambda x, i: F.conv(F.substring(x, i * MASK_BITS + 1, F.lit(MASK_BITS)), 2, 10).cast("bigint")
+    chunks = F.sequence(F.lit(0), F.floor((k - 1) / MASK_BITS).cast("int"))
+    both = F.aggregate(chunks, F.lit(0), lambda acc, i: acc + F.bit_count(part(g, i).bitwiseAND(part(p, i))))
+    some = lambda c: F.when(n > 1, c).otherwise(0).cast("int")
+    return some(both), some(_ones(p) - both), some(_ones(g) - both)
+
+
+def _numbered(rows: DataFrame, key_cols: list[str], carry: tuple[str, ...], name: str) -> DataFrame:
+    """Rows with their number within the key; a key's second row is a duplicate, whatever the order of input."""
+    seg = F.trim(F.regexp_replace("seg", "\r", "")).alias(name)
+    w = Window.partitionBy(*key_cols).orderBy(name)
+    return rows.select(*key_cols, *carry, seg).withColumn("copy", F.row_number().over(w))
 
 
 def row_flags(gold: DataFrame, pred: DataFrame, key_cols: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """Per-row comparison: chars, perfect, tp, fp, fn and an error reason (or NULL).
 
-    ``carry`` columns of ``gold`` (e.g. a slice label) ride along the one join.
+    Both sides are kept: a prediction without a gold row is ``extra_pred``, a
+    key's second row on either side ``duplicate_key``.  ``carry`` columns of
+    ``gold`` (e.g. a slice label) ride along the one join; the numbering of
+    rows within a key uses the join's own partitioning.
     """
-    j = (gold.select(*key_cols, *carry, F.trim(F.regexp_replace("seg", "\r", "")).alias("gold"))
-         .join(pred.select(*key_cols, F.trim(F.regexp_replace("seg", "\r", "")).alias("pred")), key_cols, "left"))
+    j = (_numbered(gold, key_cols, carry, "gold")
+         .join(_numbered(pred, key_cols, (), "pred"), [*key_cols, "copy"], "full"))
     g, p = F.col("gold"), F.col("pred")
     gb, pb = boundary_bits(g), boundary_bits(p)
     gn = F.length(F.when(g == "|", g).otherwise(F.regexp_replace(g, r"\|", "")))
     pn = F.length(F.when(p == "|", p).otherwise(F.regexp_replace(p, r"\|", "")))
-    err = (F.when(p.isNull(), F.lit("missing_pred"))
+    err = (F.when(F.col("copy") > 1, F.lit("duplicate_key"))
+           .when(g.isNull(), F.lit("extra_pred"))
+           .when(p.isNull(), F.lit("missing_pred"))
            .when(malformed(g).isNotNull(), F.concat(F.lit("gold_"), malformed(g)))
            .when(malformed(p).isNotNull(), F.concat(F.lit("pred_"), malformed(p)))
            .when(gn != pn, F.lit("char_mismatch")))
     j = j.select(*key_cols, *carry, "gold", "pred", gb.alias("gb"), pb.alias("pb"), gn.alias("gn"), pn.alias("pn"),
                  err.alias("error"))
-    tp, fp, fn = _flag_counts(F.col("gb"), F.col("pb"), F.col("gn"))
+    tp, fp, fn = (F.when(F.col("error").isNull(), c) for c in _flag_counts(F.col("gb"), F.col("pb"), F.col("gn")))
     return j.select(
         *key_cols, *carry, "gold", "pred",
-        F.col("pn").cast("bigint").alias("chars"),
+        F.col("pn").cast("bigint").alias("chars"), F.col("gn").cast("bigint").alias("gold_chars"),
         (F.col("gold") == F.col("pred")).cast("int").alias("perfect"),
         tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), "error",
     )
 
 
+def error_report(flags: DataFrame) -> DataFrame:
+    """``(error, rows, gold_chars, chars)`` per reason; NULL is the rows that were scored."""
+    return flags.groupBy("error").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.coalesce("gold_chars", F.lit(0))).cast("bigint").alias("gold_chars"),
+        F.sum(F.coalesce("chars", F.lit(0))).cast("bigint").alias("chars"))
+
+
 def score(flags: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
     """Micro-averaged scores, optionally per group (M8).
 
-    Rows with an error reason count as not perfect and add no flags.
+    ``rows`` counts gold rows; rows with an error reason count as not perfect
+    and add no flags.  ``chars`` and ``gold_chars`` are the totals of both sides.
     """
     ok = F.col("error").isNull()
     agg = flags.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("rows"),
+        F.count("gold").alias("rows"),
         F.sum(F.coalesce("chars", F.lit(0))).cast("bigint").alias("chars"),
+        F.sum(F.coalesce("gold_chars", F.lit(0))).cast("bigint").alias("gold_chars"),
         F.sum(F.when(ok, F.col("perfect")).otherwise(0)).cast("bigint").alias("perfect"),
         F.sum(F.when(ok, F.col("tp")).otherwise(0)).cast("bigint").alias("tp"),
         F.sum(F.when(ok, F.col("fp")).otherwise(0)).cast("bigint").alias("fp"),

@@ -252,6 +252,20 @@ def q_eval_by_quality(spark: SparkSession, sf: str) -> DataFrame:
     return _eval_cols(ev.evaluate(gold, pred, ["doc_id", "pos"], ("quality",)), ("quality",))
 
 
+def q_eval_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every reason a row can't be scored: the predictions have missing, surplus, malformed and repeated rows."""
+    gold, pred = _eval_inputs(spark, sf)
+    turn = F.pmod("pos", F.lit(37))
+    base = pred.where(turn != 3)
+    seg = F.when(turn == 7, F.concat(F.lit("|"), "seg")).when(turn == 11, F.concat("seg", F.lit("x"))).when(turn == 13, F.concat("seg", F.lit("||a"))) \
+        .otherwise(F.col("seg"))
+    bad = base.withColumn("seg", seg)
+    again = base.where(turn == 5)
+    extra = base.where(turn == 17).withColumn("pos", -F.col("pos") - 1)
+    flags = ev.row_flags(gold.select("doc_id", "pos", "seg"), bad.unionByName(again).unionByName(extra), ["doc_id", "pos"])
+    return ev.error_report(flags).select(F.coalesce("error", F.lit("scored")).alias("error"), "rows", "gold_chars", "chars")
+
+
 def q_char_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     chars = dec.explode_chars(fx.silver(spark, sf).select("doc_id", "pos", "word", "seg"), ["doc_id", "pos", "seg"])
     scored = chars.select(
@@ -290,6 +304,7 @@ SPARK_QUERIES = {
     "eval_prf": q_eval_prf,
     "eval_by_lang": q_eval_by_lang,
     "eval_by_quality": q_eval_by_quality,
+    "eval_errors": q_eval_errors,
     "char_accuracy": q_char_accuracy,
 }
 
@@ -530,6 +545,28 @@ SELECT {g_sel}rows, chars, perfect, tp, fp, fn, errors, precision, recall,
 FROM agg2"""
 
 
+def _eval_errors_sql() -> str:
+    chars = lambda c: f"length(CASE WHEN {c} = '|' THEN {c} ELSE replace({c}, '|', '') END)"
+    bad = lambda c, side: (f"WHEN length({c}) > 1 AND starts_with({c}, '|') THEN '{side}_leading_pipe' "
+                           f"WHEN length({c}) > 1 AND ends_with({c}, '|') THEN '{side}_trailing_pipe' "
+                           f"WHEN contains({c}, '||') THEN '{side}_double_pipe' ")
+    return "WITH " + SILVER + f""",
+p0 AS (SELECT doc_id, pos, {_silver_expr('word', ('ing', 'tion', 'ed'))} AS seg FROM words WHERE pos % 37 <> 3),
+p1 AS (
+  SELECT doc_id, pos, CASE pos % 37 WHEN 7 THEN '|' || seg WHEN 11 THEN seg || 'x' WHEN 13 THEN seg || '||a' ELSE seg END AS seg FROM p0
+  UNION ALL SELECT doc_id, pos, seg FROM p0 WHERE pos % 37 = 5
+  UNION ALL SELECT doc_id, -pos - 1, seg FROM p0 WHERE pos % 37 = 17),
+g2 AS (SELECT doc_id, pos, trim(seg) AS g FROM silver),
+once AS (SELECT doc_id, pos, min(trim(seg)) AS p, count(*) AS copies FROM p1 GROUP BY 1, 2),
+j AS (SELECT g, p, coalesce(copies, 1) AS copies FROM g2 FULL JOIN once USING (doc_id, pos)),
+r AS (
+  SELECT g, p, CASE WHEN g IS NULL THEN 'extra_pred' WHEN p IS NULL THEN 'missing_pred' {bad('g', 'gold')} {bad('p', 'pred')}
+                    WHEN {chars('g')} <> {chars('p')} THEN 'char_mismatch' ELSE 'scored' END AS error FROM j
+  UNION ALL SELECT NULL, p, 'duplicate_key' FROM j, range(1, copies))
+SELECT error, count(*) AS rows, coalesce(sum({chars('g')}), 0)::BIGINT AS gold_chars, coalesce(sum({chars('p')}), 0)::BIGINT AS chars
+FROM r GROUP BY error"""
+
+
 TURNS = r"""
 turns AS (
   SELECT conv_id, turn, string_split_regex(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+') AS ws
@@ -610,6 +647,7 @@ ORACLE_SQL = {
     "eval_prf": _eval_sql(),
     "eval_by_lang": _eval_sql("lang"),
     "eval_by_quality": _eval_sql("quality", join_labels=True),
+    "eval_errors": _eval_errors_sql(),
     "char_accuracy": f"WITH {CHAR_ACC}\nSELECT avg(CASE WHEN label = (CASE WHEN i + 1 = L THEN 0 ELSE pred END) "
                      f"THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy, count(*) AS chars FROM sp",
 }

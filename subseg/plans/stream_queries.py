@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import decode as dec
 from ..session import table
-from ..sources.corpus import words_from_documents
-from ..streaming.freq import run_freq_stream, windowed_counts
+from ..sources.corpus import words_from_documents, words_with_context
+from ..streaming.freq import run_freq_stream
 from ..streaming.segment import run_segment_stream, scratch_path, table_stream
 from . import catalog
 from .catalog import CFG, _decode_summary, _pseudo, cks
@@ -32,9 +32,12 @@ def q_stream_segment(spark: SparkSession, sf: str) -> DataFrame:
 def q_stream_freq(spark: SparkSession, sf: str) -> DataFrame:
     docs = table_stream(spark, sf, "documents")
     ev = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"))
-    words = words_from_documents(docs).join(ev, "doc_id", "inner").select("ts", "word")
-    final = run_freq_stream(spark, windowed_counts(words), scratch_path(spark, "stream-freq"),
-                            scratch_path(spark, "stream-freq-ckpt"))
+
+    def timed_words(batch: DataFrame) -> DataFrame:
+        # a document without an event keeps its words, in the window of unknown time
+        return words_with_context(batch.join(ev, "doc_id", "left"), "doc_id", keep=("ts",)).select("ts", "word")
+
+    final = run_freq_stream(spark, docs, timed_words, scratch_path(spark, "stream-freq"), scratch_path(spark, "stream-freq-ckpt"))
     return final.groupBy(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start")).agg(
         F.count(F.lit(1)).alias("n_words"), F.sum("cnt").cast("bigint").alias("tokens"),
         checksum("word", "cnt").alias("checksum"))
@@ -48,7 +51,7 @@ SPARK_QUERIES = {
 ORACLE_SQL = {
     "stream_segment": catalog.ORACLE_SQL["allowed_decode"],
     "stream_freq": f"""WITH {catalog.WORDS},
-tw AS (SELECT e.ts, w.word FROM words w JOIN events e ON e.event_id = w.doc_id),
+tw AS (SELECT e.ts, w.word FROM words w LEFT JOIN events e ON e.event_id = w.doc_id),
 c AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, word, count(*) AS cnt FROM tw GROUP BY 1, 2)
 SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n_words, sum(cnt)::BIGINT AS tokens, {cks('word', 'cnt')} AS checksum
 FROM c GROUP BY window_start""",

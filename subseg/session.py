@@ -48,17 +48,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint directory named by ``spark.checkpoint.dir``.
+    """The shared checkpoint directory: the one already set on the context, else ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared folder and is used as is.  Only
-    when it is unset (local tests) a private scratch folder is created.
+    A caller's choice is never overridden.  Where neither is set, a local
+    session (tests) gets a private scratch folder; a cluster gets an error,
+    since a machine-local folder would be lost with its machine.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="subseg-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    spark.sparkContext.setCheckpointDir(conf_dir)
-    return conf_dir
+    sc = spark.sparkContext
+    have = sc.getCheckpointDir()
+    if have:
+        return have
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="subseg-ckpt-")
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ import os
 import pytest
 
 from conftest import ref_dirs
-from subseg.operators.evaluate import evaluate
+from subseg.operators.evaluate import evaluate, row_flags
 from subseg.sources.tables import read_pred_lines
 
 # rows -> (chars, perfect, tp, fp, fn), as published
@@ -52,3 +52,38 @@ def test_golden_scores(spark, gold, pred):
     assert (r.chars, r.perfect, r.tp, r.fp, r.fn, r.errors) == (chars, perfect, tp, fp, fn, 0)
     assert r.precision == pytest.approx(tp / (tp + fp))
     assert r.f_score == pytest.approx(2 * r.precision * r.recall / (r.precision + r.recall))
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "pos int, seg string")
+
+
+def test_every_reason_is_reported(spark):
+    gold = frame(spark, [(1, "a|b"), (2, "ab"), (3, "abc"), (4, "x|y"), (5, "z"), (5, "z"), (6, "|q")])
+    pred = frame(spark, [(1, "a|b"), (1, "ab"), (2, "abc"), (4, "x||y"), (5, "z"), (6, "q"), (9, "new")])
+    flags = row_flags(gold, pred, ["pos"])
+    got = {(r.pos, r.error) for r in flags.collect()}
+    # of two predictions for key 1 the first in order of text is scored, the other reported
+    assert got == {(1, None), (1, "duplicate_key"), (2, "char_mismatch"), (3, "missing_pred"), (4, "pred_double_pipe"), (5, None),
+                   (5, "duplicate_key"), (6, "gold_leading_pipe"), (9, "extra_pred")}
+    r = evaluate(gold, pred, ["pos"]).first()
+    assert (r.rows, r.errors, r.gold_chars, r.chars) == (7, 7, 2 + 2 + 3 + 2 + 1 + 1 + 1, 2 + 2 + 3 + 2 + 1 + 1 + 3)
+
+
+def test_surplus_predictions_count(spark):
+    r = evaluate(frame(spark, [(1, "ab")]), frame(spark, [(1, "ab"), (2, "cd"), (3, "ef")]), ["pos"]).first()
+    assert (r.rows, r.errors) == (1, 2)
+
+
+def test_words_of_any_length(spark):
+    import random
+    rnd = random.Random(4)
+    rows, want = [], [0, 0, 0]
+    for k in range(60):
+        n = rnd.choice([1, 2, 62, 63, 64, 65, 126, 300])
+        g, p = ([rnd.random() < 0.3 for _ in range(n - 1)] for _ in range(2))
+        spell = lambda bits: "".join("a" + "|" * b for b in bits) + "a"
+        rows.append((k, spell(g), spell(p)))
+        want = [w + sum(x) for w, x in zip(want, ([a and b for a, b in zip(g, p)], [b and not a for a, b in zip(g, p)], [a and not b for a, b in zip(g, p)]))]
+    r = evaluate(frame(spark, [(k, g) for k, g, _ in rows]), frame(spark, [(k, p) for k, _, p in rows]), ["pos"]).first()
+    assert [r.tp, r.fp, r.fn] == want and r.errors == 0
