@@ -1,7 +1,7 @@
 """Token counts: how many pieces a unigram tokenizer makes of a text, without making them.
 
 Text is normalised as the tokenizer does: white space ``[\\x20\\x09-\\x0D]+``
-separates, every word gets the mark in front and is cut again before each mark inside
+separates, every word gets the mark in front (a text's first word only if it has none) and is cut again before each mark inside
 it. An Aho-Corasick automaton over the vocabulary yields, for every end
 position, all pieces that end there, longest first. Dynamic programming keeps
 the best score and the piece count of every prefix. Ties go as in the tokenizer: scores
@@ -33,6 +33,7 @@ UNKNOWN_PENALTY = 10.0
 SLICE = 4 << 20
 #: word counts kept between slices of a task
 KEEP = 1 << 19
+_MARK_BYTES = MARK.encode()
 _PARTS = re.compile(f"{MARK}[^{MARK}]*")
 
 
@@ -119,7 +120,17 @@ class DocumentCounter:
             if c is None:
                 c = known[key] = word(raw[a:b].decode())
             size[k] = c
-        return np.diff(w.woff), W.count_by(w.doc, n, size[which]) if len(keys) else np.zeros(n, np.int64)
+        n_words = np.diff(w.woff)
+        if not len(keys):
+            return n_words, np.zeros(n, np.int64)
+        total = W.count_by(w.doc, n, size[which])
+        # a text that begins with a mark gets no second one in front
+        full = np.flatnonzero(n_words)
+        begin = w.starts[w.woff[full]]
+        for d in full[[raw.startswith(_MARK_BYTES, at) for at in begin.tolist()]]:
+            own = w.word(w.woff[d]).decode()
+            total[d] += word(own[1:]) - word(own)
+        return n_words, total
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", byte_fallback: bool = True) -> DataFrame:
