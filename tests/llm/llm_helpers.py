@@ -1,5 +1,9 @@
+"""Frames that several tests of the operators use."""
 import pytest
 
+SF_SMALL = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
+
 #: columns that operators use for themselves, on top of those of documents
 CLASH = {"label": 1, "score": 0.5, "kept": True, "n_words": 7, "set_id": 3, "component_id": 4, "sequence_id": 5, "start": 6, "licenses": "x", "held_out": False, "shard": 8, "length": 9}
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"

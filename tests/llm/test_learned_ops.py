@@ -5,16 +5,13 @@ import re
 import numpy as np
 import pytest
 
-from conftest import SF_SMALL
+from llm_helpers import SF
 from subseg.llm import block_labeller as L
 from subseg.llm import decision_list as D
 from subseg.llm import fourier_quality as Q
 from subseg.llm import queries
 from subseg.llm.html_blocks import leaf_blocks
 
-SF = SF_SMALL.replace("0.001", "0.01")
-
-
 def truth(spark, sf):
     return spark.read.parquet(f"{sf}/labels.parquet").toPandas().set_index("doc_id")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from conftest import SF_SMALL
+from llm_helpers import SF_SMALL, make  # noqa: F401
 from subseg.llm import jaccard_join as J
 from subseg.llm.components import connected_components
 from subseg.llm.packing import SIZE

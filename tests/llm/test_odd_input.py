@@ -3,8 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from conftest import SF_SMALL
-from llm.conftest import frame, odd_texts
+from llm_helpers import SF_SMALL, frame, odd_texts
 from subseg.llm import bm25_decontam, decision_list, fourier_quality, jaccard_join, license_scan, lm_scoring, packing, secret_scan, unigram_counts
 from subseg.llm.queries import tokenizer_path
 

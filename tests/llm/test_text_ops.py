@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from llm.conftest import odd_texts
+from llm_helpers import make, odd_texts  # noqa: F401
 from subseg.llm import bm25_decontam as B
 from subseg.llm import license_scan, packing, queries, secret_scan, unigram_counts
 from subseg.llm.queries import tokenizer_path
