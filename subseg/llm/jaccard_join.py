@@ -10,12 +10,14 @@ A document's set is its distinct 5-word shingles (64-bit hashes). Steps:
    share a shingle there) into index lists, dealt by shingle hash. Lists are
    ordered by set size. For a set, blocks of a list are skipped when the block's sizes
    or its best remaining overlap (size minus position) can't reach the threshold.
-3. Answers are derived where sets are related: a long list first yields only
+3. A set's counts by hash bucket (as many buckets as shingles, a byte each) bound
+   the difference of two sets from below: pairs whose counts differ too much are dropped, surely unlinked.
+4. Answers are derived where sets are related: a long list first yields only
    neighbour pairs; of all candidates of a set one is verified at first. Sets that come
    out in one component need no pair between them; a list whose sets are all in one component is skipped whole.
    All pairs left between different components are then verified exactly on full sets.
 
-Nothing is capped: every candidate pair is either verified or joins two sets
+Nothing is capped: every candidate pair is excluded by a bound, verified, or joins two sets
 that are already in one component.
 
 Defined results: null or empty text, or a text without words, has an empty set
@@ -40,8 +42,8 @@ from subseg.llm.store import stored
 SHINGLE = 5
 #: the threshold 0.75 as a fraction; 7 * overlap >= 3 * (sizes) says the same
 NUM, DEN = 3, 4
-#: at most 2**SKETCH_BITS one-byte buckets are broadcast, whatever the input
-SKETCH_BITS = 22
+#: the sketch has a bucket for every eight words, 2**MAX_SKETCH_BITS at most; its levels, a byte each, are broadcast
+MAX_SKETCH_BITS = 26
 SKETCH_CHUNK = 1 << 16
 #: index lists up to this length yield all their pairs at once
 SHORT_LIST = 16
@@ -105,6 +107,10 @@ SUMMARY = "doc_id long, n_shingles long, set_id long, chunk int, counts binary"
 def _summary(docs: DataFrame, bits: int) -> DataFrame:
     """A row per document, and each task's sketch counts in chunks (compressed by the writer)."""
 
+    def tally(counts: np.ndarray, wait: list[np.ndarray]) -> None:
+        bucket, n = np.unique(np.concatenate(wait), return_counts=True)
+        counts[bucket] += n.astype(np.uint32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, wait, waiting = np.zeros(1 << bits, np.uint32), [], 0
         for batch in batches:
@@ -113,8 +119,8 @@ def _summary(docs: DataFrame, bits: int) -> DataFrame:
                 off, items = shingle_sets(part.column(1))
                 wait.append((items >> U(64 - bits)).astype(np.int32))
                 waiting += len(items)
-                if waiting > 1 << bits:
-                    counts += np.bincount(np.concatenate(wait), minlength=1 << bits).astype(np.uint32)
+                if waiting > FLUSH:
+                    tally(counts, wait)
                     wait, waiting = [], 0
                 n = hi - lo
                 yield pa.RecordBatch.from_arrays(
@@ -122,7 +128,7 @@ def _summary(docs: DataFrame, bits: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "set_id", "chunk", "counts"],
                 )
         if wait:
-            counts += np.bincount(np.concatenate(wait), minlength=1 << bits).astype(np.uint32)
+            tally(counts, wait)
         size = min(SKETCH_CHUNK, 1 << bits)
         for c in range((1 << bits) // size):
             part = counts[c * size : (c + 1) * size]
@@ -297,19 +303,81 @@ def _index_lists(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 
 
 def _list_pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cols = [np.concatenate(x) for x in zip(*([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("a", "n", "pos", "root")] for b in batches), strict=True)]
-    order = np.lexsort((cols[0], cols[1]))
-    sid, n, pos, root = (c[order] for c in cols)
+    """Pairs of a list between different components that neither positions nor bucket counts exclude."""
+    t = pa.Table.from_batches(list(batches)).sort_by([("n", "ascending"), ("a", "ascending")])
+    sid, n, pos, root = (t.column(c).to_numpy() for c in ("a", "n", "pos", "root"))
+    tally = [np.frombuffer(x, np.uint8) for x in t.column("tally").to_pylist()]
     i, j = _pairs_of_list(n, pos, root)
-    pair = np.stack([sid[i], sid[j]], axis=1)
+    ok = np.fromiter((_near(tally[x], n[x], tally[y], n[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+    pair = np.stack([sid[i[ok]], sid[j[ok]]], axis=1)
     pair.sort(axis=1)
     yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, items) of the wanted (set_id, doc_id): their documents are read again."""
+def bucket_counts(items: np.ndarray) -> np.ndarray:
+    """Counts of a set's hashes by their first bits, 255 at most, in at least as many buckets as there are items."""
+    bits = max(len(items) - 1, 1).bit_length()
+    return np.minimum(np.bincount((items >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def _near(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> bool:
+    """False only if the sets differ in too many items: counts differ by no more than the sets do, also after neighbouring buckets are joined."""
+    x, y = x.astype(np.int32), y.astype(np.int32)
+    if len(x) > len(y):
+        x = x.reshape(len(y), -1).sum(axis=1)
+    elif len(y) > len(x):
+        y = y.reshape(len(x), -1).sum(axis=1)
+    return (NUM + DEN) * int(np.abs(x - y).sum()) <= (DEN - NUM) * int(nx + ny)
+
+
+def _near_pairs(pairs: DataFrame, tallies: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their sets' bucket counts don't exclude."""
+    one = tallies.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("tally").alias("ta"))
+    two = tallies.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("tally").alias("tb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ta", "na", "tb", "nb")), strict=True)
+            ok = [_near(np.frombuffer(x, np.uint8), nx, np.frombuffer(y, np.uint8), ny) for x, nx, y, ny in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, "a long, b long")
+
+
+def _tallies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set_id, n, tally) of the wanted (set_id, doc_id): their documents are read again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in W.slices(batch, "text"):
+                off, items = shingle_sets(batch.column(1).slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(set_ids(off, items).view(np.int64)), pa.array(np.diff(off)), pa.array([bucket_counts(items[off[d] : off[d + 1]]).tobytes() for d in range(hi - lo)], pa.binary())],
+                    names=["set_id", "n", "tally"],
+                )
+
+    found = _documents_of(docs, wanted).mapInArrow(run, "set_id long, n long, tally binary")
+    return stored(found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "tallies")
+
+
+def _documents_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     ids = wanted.select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.where("doc_id is not null").join(ids, "doc_id", "left_semi")
+
+
+def _named(*pairs: DataFrame) -> DataFrame:
+    """The sets that pairs (a, b), or entries (a), name."""
+    out = None
+    for p in pairs:
+        for c in [x for x in ("a", "b") if x in p.columns]:
+            one = p.select(F.col(c).alias("set_id"))
+            out = one if out is None else out.union(one)
+    return out.distinct()
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set_id, items) of the wanted (set_id, doc_id): their documents are read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,18 +387,18 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     [pa.array(set_ids(off, items).view(np.int64)), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(items.view(np.int64)))], names=["set_id", "items"]
                 )
 
-    found = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").mapInArrow(run, "set_id long, items array<bigint>")
+    found = _documents_of(docs, wanted).mapInArrow(run, "set_id long, items array<bigint>")
     return stored(found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that reach the threshold, by full overlap; only sets that a pair names are moved."""
     pairs = stored(pairs.select("a", "b"), "candidates")
-    named = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
+    named = _named(pairs)
     n = named.count()
     if not n:
         return pairs
-    needed = sets.join(F.broadcast(named), "set_id", "left_semi") if n <= BROADCAST_IDS else sets.join(named, "set_id", "left_semi")
+    needed = sets.join(F.broadcast(named) if n <= BROADCAST_IDS else named, "set_id", "left_semi")
     one = needed.select(F.col("set_id").alias("a"), F.col("items").alias("x"))
     two = needed.select(F.col("set_id").alias("b"), F.col("items").alias("y"))
     both = pairs.join(one, "a").join(two, "b")
@@ -345,10 +413,13 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, set_id, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
     narrow = _narrow(docs, id_col, text_col)
+    if sketch_bits is None:
+        size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        sketch_bits = min(max((size // 48).bit_length(), 10), MAX_SKETCH_BITS)
     summary = stored(_summary(narrow, sketch_bits), "summary")
     per_doc = summary.where("chunk is null").select("doc_id", "n_shingles", "set_id")
     total = per_doc.agg(F.sum("n_shingles")).first()[0] or 0
@@ -359,14 +430,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (DEN * ENTRIES_PER_SHARD))
     entries = _prefix_entries(narrow, levels, sketch_bits, shards)
     lists = stored(entries.groupBy("shard").applyInArrow(_index_lists, LISTS), "lists")
-    pairs = stored(lists.where("b is not null").select("a", "b").distinct(), "pairs")
+    pairs = lists.where("b is not null").select("a", "b").distinct()
     long_lists = lists.where("list is not null")
-    if not pairs.head(1) and not long_lists.head(1):
+    if not lists.head(1):
         return per_doc.withColumn("component_id", F.col("doc_id"))
 
+    tallies = _tallies(narrow, sets.join(_named(pairs, long_lists.select("a")), "set_id"))
+    pairs = stored(_near_pairs(pairs, tallies), "pairs")
+    full = _full_sets(narrow, sets.join(_named(pairs), "set_id"))
     # a set's first partner decides whether the others need a look
-    nodes = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).union(long_lists.select(F.col("a").alias("set_id"))).distinct()
-    full = _full_sets(narrow, sets.join(nodes, "set_id"))
     links = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")), full)
     roots = connected_components(links)
     more = _verified(_across(pairs, roots), full)
@@ -374,13 +446,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = links.union(more)
         roots = connected_components(links)
     # long lists: those within one component are skipped whole
-    named = long_lists.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    mixed = named.groupBy("list").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("list")
-    left = named.join(mixed, "list", "left_semi").groupBy("list").applyInArrow(_list_pairs, "a long, b long").distinct()
-    more = _verified(left, full)
-    if more.head(1):
-        links = links.union(more)
-        roots = connected_components(links)
+    rooted = long_lists.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    mixed = rooted.groupBy("list").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("list")
+    open_lists = rooted.join(mixed, "list", "left_semi").join(tallies.select(F.col("set_id").alias("a"), "tally"), "a")
+    left = stored(open_lists.groupBy("list").applyInArrow(_list_pairs, "a long, b long").distinct(), "pairs")
+    if left.head(1):
+        more = _verified(left, _full_sets(narrow, sets.join(_named(left), "set_id")))
+        if more.head(1):
+            links = links.union(more)
+            roots = connected_components(links)
 
     found = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     named = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))

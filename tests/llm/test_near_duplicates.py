@@ -76,6 +76,18 @@ def test_components_match_brute_force(spark, make, monkeypatch, seed, short, bit
     assert kept == sorted(set(want))
 
 
+def test_bucket_counts_exclude_no_link():
+    rng = np.random.default_rng(7)
+    for _ in range(400):
+        n, d = int(rng.integers(1, 400)), int(rng.integers(0, 80))
+        x = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+        y = np.concatenate([x[: max(n - d, 0)], rng.integers(0, 2**63, int(rng.integers(0, 60)), dtype=np.uint64)])
+        if len(y):
+            both = len(set(x.tolist()) & set(y.tolist()))
+            near = J._near(J.bucket_counts(x), len(x), J.bucket_counts(y), len(y))
+            assert near or 7 * both < 3 * (len(x) + len(y))
+
+
 def test_block_skipping_keeps_every_pair():
     rng = np.random.default_rng(5)
     for _ in range(20):
