@@ -46,11 +46,21 @@ NUM_COLS = [
 WINDOW_SIZES = (1, 2, 3, 4)
 
 
-def probe_array(word: Column) -> Column:
-    """Every substring a feature of this word can look up (whole word included)."""
+def probe_array(word: Column, lengths: list[int] | None = None) -> Column:
+    """Every substring a feature of this word can look up (whole word included).
+
+    ``lengths``: the lengths that the dictionary has; other prefixes and
+    suffixes can't hit, so a very long word costs its length times these, not
+    its length squared.
+    """
     n = F.length(word)
-    prefixes = F.transform(F.sequence(F.lit(1), n), lambda k: F.substring(word, 1, k))
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda k: F.substring(word, k, n - k + 1))
+    if lengths is None:
+        prefixes = F.transform(F.sequence(F.lit(1), n), lambda k: F.substring(word, 1, k))
+        suffixes = F.transform(F.sequence(F.lit(1), n), lambda k: F.substring(word, k, n - k + 1))
+    else:
+        fits = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda k: k <= n)
+        prefixes = F.transform(fits, lambda k: F.substring(word, F.lit(1), k))
+        suffixes = F.transform(fits, lambda k: F.substring(word, n - k + 1, k))
     parts = [prefixes, suffixes]
 
     def window_of(size):
@@ -64,7 +74,8 @@ def probe_array(word: Column) -> Column:
 
 def lookup_maps(types: DataFrame, dict_df: DataFrame) -> DataFrame:
     """``(word)`` types -> ``(word, m)`` with ``m`` holding only the substrings that hit."""
-    probes = types.select("word", F.explode(probe_array(F.col("word"))).alias("s"))
+    lengths = sorted(r[0] for r in dict_df.select(F.length("word")).distinct().collect() if r[0])  # word lengths: some dozens
+    probes = types.select("word", F.explode(probe_array(F.col("word"), lengths)).alias("s"))
     d = dict_df.select(F.col("word").alias("s"), "tags", "freq")
     hits = probes.join(d, "s", "inner")
     return hits.groupBy("word").agg(
@@ -135,15 +146,18 @@ CONTEXT_COLS = [c for c in CAT_COLS + NUM_COLS if c not in INTERNAL_COLS]
 
 def token_context(rows: DataFrame, lex_tags: DataFrame) -> DataFrame:
     """Neighbour-word features, once per token row (before any per-char fan-out)."""
-    nb = lex_tags.select(F.col("word").alias("nb_word"), F.col("tags").alias("nb_tags"))
-    r = (rows.join(nb.withColumnRenamed("nb_word", "prev_word").withColumnRenamed("nb_tags", "prev_tags"),
-                   "prev_word", "left")
-         .join(nb.withColumnRenamed("nb_word", "next_word").withColumnRenamed("nb_tags", "next_tags"),
-               "next_word", "left"))
-
     def nb_ok(c: str) -> Column:
         return (F.col(c) != MISSING) & (F.col(c) != "")
 
+    def key_of(c: str) -> Column:
+        # a missing neighbour looks nothing up: its rows get keys of no word, spread over tasks
+        return F.when(nb_ok(c), F.col(c)).otherwise(F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("word", "prev_word", "next_word"), F.lit(4096)).cast("string")))
+
+    r = rows
+    for side in ("prev", "next"):
+        nb = lex_tags.select(F.col("word").alias("_nb"), F.col("tags").alias(f"{side}_tags"))
+        r = r.withColumn("_key", key_of(f"{side}_word")).join(nb, F.col("_key") == F.col("_nb"), "left").drop("_key", "_nb")
+
     cols = {
         "prev_grp_pos": F.when(nb_ok("prev_word"), F.coalesce("prev_tags", F.lit(MISSING))).otherwise(MISSING),
         "next_grp_pos": F.when(nb_ok("next_word"), F.coalesce("next_tags", F.lit(MISSING))).otherwise(MISSING),
@@ -160,11 +174,14 @@ def token_context(rows: DataFrame, lex_tags: DataFrame) -> DataFrame:
 
 def char_features(rows: DataFrame, lex_tags: DataFrame, freqs: DataFrame | None, cfg: SegConfig,
                   seg_col: str | None = None, keep: tuple[str, ...] = (),
-                  tag_col: str | None = None) -> DataFrame:
+                  tag_col: str | None = None, encode_with=None) -> DataFrame:
     """``rows(word, prev_word, next_word, *keep[, seg])`` -> one row per character.
 
     Output: ``*keep, word, CAT_COLS (STRING), NUM_COLS`` (+ ``label INT`` when
-    ``seg_col`` is given, + ``bert`` when ``tag_col`` is given).
+    ``seg_col`` is given, + ``bert`` when ``tag_col`` is given).  With
+    ``encode_with(frame, cat_cols, keep_cols)`` the categorical columns are
+    codes: each side of the join is encoded before its rows fan out, type rows
+    for the word's own columns, token rows for the neighbours'.
     """
     rows = rows.filter(F.length("word") > 0)
     if seg_col is not None:
@@ -173,9 +190,15 @@ def char_features(rows: DataFrame, lex_tags: DataFrame, freqs: DataFrame | None,
     types = rows.select("word").distinct()
     maps = lookup_maps(types, lookup_dict(lex_tags, freqs))
     tchars = type_char_features(types, maps, cfg, freqs is not None)
+    context = token_context(rows, lex_tags)
+    if encode_with is not None:
+        inner = [c for c in CAT_COLS if c in INTERNAL_COLS]
+        outer = [c for c in CAT_COLS if c not in INTERNAL_COLS]
+        tchars = encode_with(tchars, inner, [c for c in tchars.columns if c not in inner])
+        context = encode_with(context, outer, [c for c in context.columns if c not in outer])
     # one-to-many: every token gets its type's character rows (a hot word's
     # tokens are split across tasks by AQE's skew join)
-    r = token_context(rows, lex_tags).join(tchars, "word", "inner")
+    r = context.join(tchars, "word", "inner")
 
     out = [*[k for k in keep if k != "word"], "word", *CAT_COLS, *NUM_COLS]
     if tag_col is not None:

@@ -23,7 +23,7 @@ from ..operators import decode as dec
 from ..operators import evaluate as ev
 from ..operators import features as fe
 from ..operators import lexicon as lx
-from ..operators.encode import encode, fit_encoders, fit_encoders_from_parts
+from ..operators.encode import Encoder, fit_encoders, fit_encoders_from_parts
 from ..operators.silver import silver_seg
 from ..session import table
 from ..sources.corpus import words_from_turns, words_with_context
@@ -110,10 +110,10 @@ def q_prune_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     return lx.prune_lexicon(fx.lexicon(spark, sf), tf, 0.1)
 
 
-def _feats(spark, sf, seg=False):
+def _feats(spark, sf, seg=False, encode_with=None):
     rows = fx.silver(spark, sf) if seg else fx.words(spark, sf)
     return fe.char_features(rows, fx.lexicon(spark, sf), fx.freqs(spark, sf), CFG,
-                            seg_col="seg" if seg else None, keep=("doc_id", "pos"))
+                            seg_col="seg" if seg else None, keep=("doc_id", "pos"), encode_with=encode_with)
 
 
 LETTER_COLS = ["current_letter", "prev_prev_letter", "prev_letter", "next_letter", "next_next_letter",
@@ -173,8 +173,16 @@ def q_encoders_full(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_encoded_frame(spark: SparkSession, sf: str) -> DataFrame:
-    enc = encode(_feats(spark, sf), _fitted_encoders(spark, sf), fe.CAT_COLS, ["doc_id", "pos", *INT_NUM_COLS])
-    return _by_shape(enc, fe.CAT_COLS)
+    return _by_shape(_feats(spark, sf, encode_with=Encoder(_fitted_encoders(spark, sf))), fe.CAT_COLS)
+
+
+def q_encoded_unseen(spark: SparkSession, sf: str) -> DataFrame:
+    """Dictionaries fitted on even documents, applied to odd ones: unseen values get code 0."""
+    words = fx.words(spark, sf)
+    parts = fe.feature_value_frames(words.where("doc_id % 2 = 0"), fx.lexicon(spark, sf), fx.freqs(spark, sf), CFG)
+    enc = Encoder(fit_encoders_from_parts(*parts, fe.CAT_COLS))
+    odd = fe.char_features(words.where("doc_id % 2 = 1"), fx.lexicon(spark, sf), fx.freqs(spark, sf), CFG, keep=("doc_id", "pos"), encode_with=enc)
+    return _by_shape(odd, fe.CAT_COLS)
 
 
 def q_regex_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -295,6 +303,7 @@ SPARK_QUERIES = {
     "encoders": q_encoders,
     "encoders_full": q_encoders_full,
     "encoded_frame": q_encoded_frame,
+    "encoded_unseen": q_encoded_unseen,
     "regex_rules": q_regex_rules,
     "allowed_decode": q_allowed_decode,
     "char_decode": q_char_decode,
@@ -634,6 +643,8 @@ ORACLE_SQL = {
     "encoders": f"WITH {_feats_cte()}{ENC_SQL}\nSELECT col, value, code FROM enc",
     "encoders_full": f"WITH {_feats_cte()}{ENC_SQL}\nSELECT col, value, code FROM enc",
     "encoded_frame": f"WITH {_feats_cte()}{ENC_SQL}{ENCODED_SQL}\n{_by_shape_sql(fe.CAT_COLS, '', 'encoded')}",
+    "encoded_unseen": f"WITH {_feats_cte()}{ENC_SQL.replace('FROM feats', 'FROM feats WHERE doc_id % 2 = 0')}{ENCODED_SQL}\n"
+                      f"{_by_shape_sql(fe.CAT_COLS, '', '(SELECT * FROM encoded WHERE doc_id % 2 = 1)')}",
     "regex_rules": f"WITH {WORDS}\nSELECT lang, count(*) AS n, {cks('doc_id', 'pos', 'seg')} AS checksum FROM "
                    f"(SELECT lang, doc_id, pos, {RULE_SEG} AS seg FROM words WHERE {RULE_PRED}) GROUP BY lang",
     "allowed_decode": f"WITH {WORDS}{_decode_sql('words', 'doc_id')}",
