@@ -17,8 +17,11 @@ are packed each; an empty table has no piece; a document's pieces cover its ids
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,39 +34,71 @@ from subseg.llm.store import stored
 SIZE = 2048
 GROUP = 50_000
 SLICE = 4 << 20
-#: words joined for one call of the tokenizer
-CALL_WORDS = 4096
+#: words and pieces whose ids a task keeps between slices
+KEEP = 1 << 18
+_ASCII_PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 
 
-class WordTokens:
-    """Ids of texts through ids of their distinct words. ``tokenizer_path``: a ``tokenizers`` file whose pre-tokenizer drops white space."""
+@lru_cache(2)
+def _load(path: str):
+    """One tokenizer for each worker process, not for each task."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
-    def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(tokenizer_path)
+class WordTokens:
+    """Ids of texts through ids of their distinct words.
+
+    ``tokenizer_path``: a ``tokenizers`` file whose normalizer and
+    pre-tokenizer look at no more than a word between white space, cut words into letters, single
+    digits and other marks, and set letters in lower case. ASCII words are cut
+    here in that way; others by the tokenizer's own parts. Words with an apostrophe or with the
+    beginning of a special token go through the whole tokenizer.
+    """
 
-    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, ids) of single words."""
-        out, size = [], np.zeros(len(words), np.int64)
-        for lo in range(0, len(words), CALL_WORDS):
-            for k, e in enumerate(self.tok.encode_batch_fast(words[lo : lo + CALL_WORDS], add_special_tokens=False)):
-                ids = e.ids
-                size[lo + k] = len(ids)
-                out.extend(ids)
-        return np.concatenate([[0], np.cumsum(size)]), np.array(out, np.uint32)
+    def __init__(self, tokenizer_path: str):
+        self.tok = _load(tokenizer_path)
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[int, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= KEEP:
+                self.pieces.clear()
+            ids = self.pieces[piece] = array("I", [t.id for t in self.tok.model.tokenize(piece)]).tobytes()
+        return ids
+
+    def word(self, word: str) -> bytes:
+        """Ids of one word, as bytes."""
+        if "'" in word or "<|" in word:
+            return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+        if word.isascii():
+            parts = _ASCII_PARTS.findall(word.lower())
+            return self.piece(parts[0]) if len(parts) == 1 else b"".join(map(self.piece, parts))
+        parts = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(word))
+        return b"".join([self.piece(p) for p, _ in parts])
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of each row's whole text."""
         w = W.words_of(col)
         if not len(w.hash):
             return np.zeros(len(w.woff), np.int64), np.zeros(0, np.uint32)
-        _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        raw = w.data.tobytes()
-        off, ids = self.word_ids([raw[a:b].decode() for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)])
-        size = np.diff(off)[which]
+        keys, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
+        if len(self.words) >= KEEP:
+            self.words.clear()
+        raw, known, found = w.data.tobytes(), self.words, []
+        for key, a, b in zip(keys.tolist(), w.starts[first].tolist(), w.ends[first].tolist(), strict=True):
+            ids = known.get(key)
+            if ids is None:
+                ids = known[key] = self.word(raw[a:b].decode())
+            found.append(ids)
+        own = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        begin = np.cumsum(own) - own
+        size = own[which]
         at = np.cumsum(size) - size
-        flat = ids[np.arange(int(size.sum())) - np.repeat(at, size) + np.repeat(off[:-1][which], size)]
+        flat = np.frombuffer(b"".join(found), np.uint32)[np.arange(int(size.sum())) - np.repeat(at - begin[which], size)]
         return np.concatenate([[0], np.cumsum(size)])[w.woff], flat
 
 

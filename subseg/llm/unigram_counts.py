@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -99,6 +100,12 @@ def load_vocab(model_path: str) -> list[tuple[str, float]]:
     return [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size())]
 
 
+@lru_cache(2)
+def _load(model_path: str, byte_fallback: bool) -> CountOnlyViterbi:
+    """One automaton for each worker process, not for each task."""
+    return CountOnlyViterbi(load_vocab(model_path), byte_fallback)
+
+
 class DocumentCounter:
     """Counts of whole texts, by distinct words."""
 
@@ -138,7 +145,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = DocumentCounter(CountOnlyViterbi(load_vocab(model_path), byte_fallback))
+        counter = DocumentCounter(_load(model_path, byte_fallback))
         for batch in batches:
             for lo, hi in W.slices(batch, "text", SLICE):
                 part = batch.slice(lo, hi - lo)

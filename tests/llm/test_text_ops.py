@@ -64,6 +64,18 @@ def test_packing_round_trip(spark, make):
         assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 2048
 
 
+def test_word_ids_are_the_tokenizers():
+    """Random words of letters, digits, marks, composed and decomposed characters, special tokens."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(3)
+    tok, own = Tokenizer.from_file(WORD_BPE), packing.WordTokens(WORD_BPE)
+    signs = list("abcXYZ019.,-_<|>'$\u00e9\u00c9e\u0301\u0130\u03a3\u03c2\u00df\u4e2d\u00a0\u2028\u0660\u00b2\U0001f600") + ["'s", "'LL", "<|endoftext|>", "the"]
+    for _ in range(3000):
+        word = "".join(rng.choice(signs, int(rng.integers(1, 9))))
+        assert np.frombuffer(own.word(word), np.uint32).tolist() == tok.encode(word, add_special_tokens=False).ids, repr(word)
+
+
 def test_best_fit_is_the_tightest():
     rng = np.random.default_rng(2)
     for size in (1, 2, 7, 64, 100):
