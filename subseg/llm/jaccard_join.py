@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,7 +106,7 @@ SUMMARY = "doc_id long, n_shingles long, set_id long, chunk int, counts binary"
 
 
 def _summary(docs: DataFrame, bits: int) -> DataFrame:
-    """A row per document, and each task's sketch counts in chunks (compressed by the writer)."""
+    """A row per document, and each task's sketch counts in compressed chunks."""
 
     def tally(counts: np.ndarray, wait: list[np.ndarray]) -> None:
         bucket, n = np.unique(np.concatenate(wait), return_counts=True)
@@ -134,7 +135,7 @@ def _summary(docs: DataFrame, bits: int) -> DataFrame:
             part = counts[c * size : (c + 1) * size]
             if part.any():
                 # byte planes: the high ones are almost all zero, and compress to nothing
-                planes = part.view(np.uint8).reshape(-1, 4).T.tobytes()
+                planes = zstandard.compress(part.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([c], pa.int32()), pa.array([planes], pa.binary())],
                     names=["doc_id", "n_shingles", "set_id", "chunk", "counts"],
@@ -152,7 +153,7 @@ def _levels(parts: DataFrame, bits: int, total: int) -> np.ndarray:
         counts = None
         for b in batches:
             for x in b.column(b.schema.get_field_index("counts")):
-                raw = np.frombuffer(x.as_py(), np.uint8).reshape(4, -1)
+                raw = np.frombuffer(zstandard.decompress(x.as_py()), np.uint8).reshape(4, -1)
                 part = np.ascontiguousarray(raw.T).view(np.uint32).ravel().astype(np.int64)
                 counts = part if counts is None else counts + part
         level = np.clip(np.floor(np.log2(np.maximum((counts - mean) / step, 0.5))) + 1, 0, 15).astype(np.uint8)
