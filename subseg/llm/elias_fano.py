@@ -55,11 +55,16 @@ class EliasFano:
 
     @cached_property
     def start(self) -> np.ndarray:
-        """Directory, made when first asked: where each bucket of high bits begins."""
+        """Directory, made when first asked: where each bucket of high bits begins; two ends follow."""
         zeros = np.flatnonzero(np.unpackbits(self.upper, bitorder="little") == 0)
         zeros -= np.arange(len(zeros))
         kind = np.int32 if self.n < 1 << 31 else np.int64
-        return np.concatenate([np.zeros(1, kind), np.minimum(zeros, self.n).astype(kind)])
+        return np.concatenate([np.zeros(1, kind), np.minimum(zeros, self.n).astype(kind), np.full(1, self.n, kind)])
+
+    @cached_property
+    def values(self) -> np.ndarray:
+        """All elements, decoded once; for short sequences that are read at random."""
+        return self.access(np.arange(self.n))
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -82,12 +87,9 @@ class EliasFano:
 
     def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first element at or above each value, is it equal)."""
-        values = values.astype(np.uint64)
-        high = values >> U(self.width)
-        top = U(len(self.start) - 1)
-        out_of = high >= top
-        h = np.where(out_of, U(0), high).astype(np.int64)
-        lo, end = (np.where(out_of, self.n, self.start[x]).astype(np.int64) for x in (h, h + 1))
+        values = values.astype(np.uint64, copy=False)
+        h = np.minimum(values >> U(self.width), U(len(self.start) - 2)).astype(np.int64)
+        lo, end = self.start[h].astype(np.int64), self.start[h + 1].astype(np.int64)
         target = values & U((1 << self.width) - 1)
         hi = end.copy()
         live = np.flatnonzero(lo < hi)
@@ -122,14 +124,14 @@ class Ranges:
 
     def find(self, which: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, found) of ``value`` in list ``which``."""
-        base, after = self.shift.access(which), self.shift.access(which + 1)
+        base, after = self.shift.values[which], self.shift.values[which + 1]
         shifted = base + value.astype(np.uint64)
         inside = shifted < after
         at, equal = self.items.find(np.where(inside, shifted, U(0)))
         return at, equal & inside
 
     def begin(self, which: np.ndarray) -> np.ndarray:
-        return self.pointers.access(which).astype(np.int64)
+        return self.pointers.values[which].astype(np.int64)
 
 
 @dataclass
@@ -186,16 +188,20 @@ class NgramTrie:
         )
 
     def log_prob(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, log_p1: np.ndarray) -> np.ndarray:
-        """log10 P(c | a b) of each query; ``log_p1`` is what the model falls back to."""
+        """log10 P(c | a b) of each query; ``log_p1`` is what the model falls back to. Neighbouring queries of one b look it up once."""
         out = log_p1.astype(np.float64).copy()
-        ib, ok = self.words.find(b)
-        q = np.flatnonzero(ok)
-        ib = ib[q]
+        new = np.append(True, b[1:] != b[:-1]) if len(b) else np.zeros(0, bool)
+        run = np.cumsum(new) - 1
+        found, known = self.words.find(b[new])
+        q = np.flatnonzero(known[run])
+        ib = found[run[q]]
         s_at, s_ok = self.successors.find(ib, c[q])
         p2 = dequantise(self.word_backoff[ib]) + log_p1[q]
         p2[s_ok] = dequantise(self.successor_prob[s_at[s_ok]])
         out[q] = p2
-        x_at, x_ok = self.contexts.find(ib, a[q])
+        same = np.append(True, (a[q][1:] != a[q][:-1]) | (ib[1:] != ib[:-1])) if len(q) else np.zeros(0, bool)
+        run = np.cumsum(same) - 1
+        x_at, x_ok = (x[run] for x in self.contexts.find(ib[same], a[q][same]))
         backed = np.flatnonzero(x_ok)
         out[q[backed]] += dequantise(self.context_backoff[x_at[backed]])
         # only a successor of b can be a successor of (a, b): its rank among them is looked up
