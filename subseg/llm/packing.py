@@ -52,8 +52,9 @@ class WordTokens:
 
     ``tokenizer_path``: a ``tokenizers`` file whose normalizer and
     pre-tokenizer look at no more than a word between white space, cut words into letters, single
-    digits and other marks, and set letters in lower case. ASCII words are cut
-    here in that way; others by the tokenizer's own parts. Words with an apostrophe or with the
+    digits and other marks, and set letters in lower case. Words of printable ASCII are cut
+    here in that way; others (control characters too, which the tokenizer writes as other
+    characters) by the tokenizer's own parts. Words with an apostrophe or with the
     beginning of a special token go through the whole tokenizer.
     """
 
@@ -74,7 +75,7 @@ class WordTokens:
         """Ids of one word, as bytes."""
         if "'" in word or "<|" in word:
             return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
-        if word.isascii():
+        if word.isascii() and word.isprintable():
             parts = _ASCII_PARTS.findall(word.lower())
             return self.piece(parts[0]) if len(parts) == 1 else b"".join(map(self.piece, parts))
         parts = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(word))

@@ -76,6 +76,19 @@ def test_word_ids_are_the_tokenizers():
         assert np.frombuffer(own.word(word), np.uint32).tolist() == tok.encode(word, add_special_tokens=False).ids, repr(word)
 
 
+def test_word_ids_of_control_characters():
+    """Control characters are no white space; each is a byte with ids of its own."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(5)
+    tok, own = Tokenizer.from_file(WORD_BPE), packing.WordTokens(WORD_BPE)
+    control = [chr(c) for c in (*range(0x09), *range(0x0E, 0x20), 0x7F)]
+    words = [*control, "a\x00b", "a\x1b[0m", "\x7f's"]
+    words += ["".join(rng.choice([*control, *"aZ09.<|'\u00e9"], int(rng.integers(1, 9)))) for _ in range(1000)]
+    for word in words:
+        assert np.frombuffer(own.word(word), np.uint32).tolist() == tok.encode(word, add_special_tokens=False).ids, repr(word)
+
+
 def test_best_fit_is_the_tightest():
     rng = np.random.default_rng(2)
     for size in (1, 2, 7, 64, 100):
