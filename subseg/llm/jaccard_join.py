@@ -414,6 +414,15 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
+def _components_of(per_doc: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Each document's component, named by the smallest id among all documents of its sets."""
+    found = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    named = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    by_set = found.join(named, "root").select("set_id", "component_id")
+    out = per_doc.join(by_set, "set_id", "left")
+    return out.select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, set_id, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
@@ -434,7 +443,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = lists.where("b is not null").select("a", "b").distinct()
     long_lists = lists.where("list is not null")
     if not lists.head(1):
-        return per_doc.withColumn("component_id", F.col("doc_id"))
+        # no two different sets meet; equal sets are one component all the same
+        return _components_of(per_doc, sets, sets.select(F.col("set_id").alias("node"), F.col("set_id").alias("root")))
 
     tallies = _tallies(narrow, sets.join(_named(pairs, long_lists.select("a")), "set_id"))
     pairs = stored(_near_pairs(pairs, tallies), "pairs")
@@ -457,11 +467,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             links = links.union(more)
             roots = connected_components(links)
 
-    found = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    named = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_set = found.join(named, "root").select("set_id", "component_id")
-    out = per_doc.join(by_set, "set_id", "left")
-    return out.select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _components_of(per_doc, sets, roots)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

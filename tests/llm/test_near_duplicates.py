@@ -76,6 +76,19 @@ def test_components_match_brute_force(spark, make, monkeypatch, seed, short, bit
     assert kept == sorted(set(want))
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_exact_copies_alone(make, near):
+    """Unrelated texts with exact copies make no list entry, yet the copies are one component."""
+    texts = [" ".join(f"t{k}x{i}" for i in range(20)) for k in range(6)]
+    rows = [texts[k] for k in (0, 1, 2, 0, 3, 2, 2, 4, 5)] + ["one two", None, "", "One  two"]
+    rows += [" ".join(f"n{i}" for i in range(40)), " ".join(f"n{i}" for i in range(41))] if near else []
+    want, sizes = brute(rows)
+    got = J.jaccard_components(make(rows).repartition(3)).toPandas().set_index("doc_id").sort_index()
+    assert got.n_shingles.tolist() == sizes
+    assert got.component_id.tolist() == want
+    assert sorted(r.doc_id for r in J.keep_one(make(rows)).collect()) == sorted(set(want))
+
+
 def test_bucket_counts_exclude_no_link():
     rng = np.random.default_rng(7)
     for _ in range(400):
