@@ -231,6 +231,42 @@ def test_wand_finds_what_a_full_scan_finds():
             assert index.most[terms][index.essential[terms]].sum() >= 0.3 - index.common_most - 1e-9
 
 
+def test_leaks_in_other_case_and_composition(spark, make):
+    """Quotations in upper case, with ß as SS, and with decomposed accents."""
+    import unicodedata
+
+    texts = [
+        "El niño pequeño comió piñas según contó su tía Inés. La canción más antigua sonó allí después.",
+        "Die größte Straße führt über Flüsse, Wälder und Hügel. Außerdem heißt sie für Gäste schöne Allee.",
+        "Un élève très âgé préféra l'été à la forêt près du château. Où était le théâtre détruit là-bas?",
+    ]
+    docs = [f"vorher {t.upper()} nachher" for t in texts] + [f"before {unicodedata.normalize('NFD', t)} after" for t in texts] + ["nothing of that"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in B.find_leaks(make(docs), items).collect()}
+    assert set(got) == {(i, i % 3) for i in range(6)}
+    assert all(r.question_overlap == r.answer_overlap == 1 for r in got.values())
+    assert {r.doc_id for r in B.drop_leaks(make(docs), items).collect()} == {6}
+
+
+def test_scores_do_not_depend_on_blocks(spark, make):
+    """Counts come from all items; a very long item doesn't widen the passages of others."""
+    rng = np.random.default_rng(11)
+    words = [f"w{int(x)}" for x in rng.zipf(1.4, 4000) % 600]
+    tests = [(k, " ".join(words[40 * k : 40 * k + 12 + k]) + ".") for k in range(30)]
+    docs = [" ".join(words[50 * k : 50 * k + 300]) for k in range(40)]
+
+    def found(rows, size):
+        items = spark.createDataFrame(rows, "item_id long, text string")
+        return {(r.doc_id, r.item_id): (round(r.score, 9), r.first_word) for r in B.find_leaks(make(docs), items, items_per_index=size).collect()}
+
+    whole = found(tests, 20_000)
+    assert len(whole) > 30 and found(tests, 7) == whole
+    with_long = found([*tests, (99, " ".join(f"v{i}" for i in range(900)))], 20_000)
+    both = whole.keys() & with_long.keys()
+    assert len(both) > 30 and all(whole[k][1] == with_long[k][1] for k in both)
+    assert [B.length_class(n) for n in (0, 1, 64, 65, 128, 129, 256, 257)] == [0, 0, 0, 1, 1, 2, 2, 3]
+
+
 def test_item_parts():
     assert B.split_item("A b. C d?") == ("A b.", "C d?")
     assert B.split_item("Only one") == ("Only one", "Only one")
