@@ -5,9 +5,11 @@ runs of letters and digits in lower case; a shingle is five words, as one 64-bit
 
 *Windows.* A document's shingles are cut into tiles; a window is two neighbouring
 tiles, windows overlap by a tile. A template is matched in the size class whose
-tile its length fits: ``tiny`` (up to 4 shingles: tiles of one shingle, so a window's
+tile its length fits: ``words`` (below five words, which make no shingle: runs of the
+document's words are compared with the whole template), ``tiny`` (up to 4 shingles: tiles of one shingle, so a window's
 sketch is the shingle itself), ``short`` (tiles of 8), ``long`` (tiles of 64, whose
-sketches are minima over the short tiles' sketches). Templates of over 128 shingles are cut into parts.
+sketches are minima over the short tiles' sketches). Templates of over 128 shingles are cut into parts; a rest
+of over 4 shingles is a part of its own, for a smaller one the last 128 shingles are.
 
 *Bands.* ``BANDS`` bands of one row each. A whole occurrence in a window has a
 similarity of at least 5/16 (short) or 33/128 (long), so it collides in some band with
@@ -18,7 +20,8 @@ element of a union is as likely to be the smallest, and masks are independent.
 *Verification.* For retrieved templates the share of template shingles
 within the window, widened by a template's length on both sides, must reach ``containment``.
 
-Defined results: null, empty and short texts (below five words) match nothing;
+Defined results: null and empty texts match nothing, texts below five words only ``words`` templates,
+whose ``first_shingle`` is the run's first word; a template without words matches nothing;
 repeated rows are scanned each; any number of licenses may match a row.
 """
 
@@ -53,6 +56,16 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("All-Rights-Reserved", "All rights reserved."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 )
 
 
@@ -61,10 +74,13 @@ def _once(value: Column) -> Column:
     return F.explode_outer(F.array(value))
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of all runs of five words, in order; shorter texts have none."""
+def word_hashes(text: Column) -> Column:
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def shingles(hashes: Column) -> Column:
+    """Hashes of all runs of five words, in order; shorter texts have none."""
     # the array is bound once, so that its words aren't split again for each shingle
     return F.flatten(
         F.transform(
@@ -79,11 +95,13 @@ class Template:
     number: int
     license: str
     grams: tuple[int, ...]
+    #: word hashes of a template below five words, which has no shingle
+    words: tuple[int, ...] = ()
 
     @property
     def kind(self) -> str:
         n = len(self.grams)
-        return "tiny" if n <= TINY_MOST else "short" if n <= SHORT_MOST else "long"
+        return "words" if self.words else "tiny" if n <= TINY_MOST else "short" if n <= SHORT_MOST else "long"
 
     @property
     def keys(self) -> list[int]:
@@ -95,12 +113,15 @@ def load_templates(spark: SparkSession, templates) -> list[Template]:
     """Template parts with the shingles that documents get; templates are a parameter, some hundreds of short texts."""
     rows = spark.createDataFrame([(i, lic, t) for i, (lic, t) in enumerate(templates)], "n int, license string, text string")
     out = []
-    for r in rows.select("n", "license", shingles(F.col("text")).alias("s")).orderBy("n").collect():
+    hashes = rows.select("n", "license", _once(word_hashes(F.col("text"))).alias("h"))
+    for r in hashes.select("n", "license", "h", shingles(F.col("h")).alias("s")).orderBy("n").collect():
         grams = r["s"]
-        for lo in range(0, max(len(grams), 1), PART):
-            part = tuple(dict.fromkeys(grams[lo : lo + PART]))
-            if part and (lo == 0 or len(part) > PART // 2):
-                out.append(Template(len(out), r["license"], part))
+        if r["h"] and not grams:
+            out.append(Template(len(out), r["license"], (), tuple(r["h"])))
+        for lo in range(0, len(grams), PART):
+            # a rest of few shingles would be met by chance: the last PART ones stand for it
+            lo = lo if lo == 0 or len(grams) - lo > TINY_MOST else len(grams) - PART
+            out.append(Template(len(out), r["license"], tuple(dict.fromkeys(grams[lo : lo + PART]))))
     return out
 
 
@@ -143,10 +164,11 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, text_col: str = "text",
     """
     spark = docs.sparkSession
     parts = load_templates(spark, templates)
-    by = {k: [t for t in parts if t.kind == k] for k in ("tiny", "short", "long")}
+    by = {k: [t for t in parts if t.kind == k] for k in ("words", "tiny", "short", "long")}
     own = [F.col(f"`{c}`") for c in docs.columns if c != out_col]
     kind = "array<struct<license:string,template:int,first_shingle:int,containment:double>>"
-    df = docs.select(*own, _once(shingles(F.col(f"`{text_col}`"))).alias("__s"))
+    df = docs.select(*own, _once(word_hashes(F.col(f"`{text_col}`"))).alias("__h"))
+    df = df.select("*", _once(shingles(F.col("__h"))).alias("__s"))
     s = F.col("__s")
 
     tile_count = F.ceil(F.size(s) / TILE).cast("int")
@@ -186,6 +208,16 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, text_col: str = "text",
         return F.flatten(F.transform(windows, of_window))
 
     found = []
+    if by["words"]:
+        h, firsts = F.col("__h"), sorted({t.words[0] for t in by["words"]})
+        runs = F.array(*[F.struct(F.lit(t.license).alias("license"), F.lit(t.number).alias("template"), _longs(t.words).alias("words")) for t in by["words"]])
+        starts = F.when(F.arrays_overlap(h, _longs(firsts)), F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.get(h, i).isin(*firsts))).otherwise(F.array().cast("array<int>"))
+
+        def of_start(i: Column) -> Column:
+            met = F.filter(runs, lambda t: F.slice(h, i + 1, F.size(t["words"])) == t["words"])
+            return F.transform(met, lambda t: F.struct(t["license"].alias("license"), t["template"].alias("template"), i.cast("int").alias("first_shingle"), F.lit(1.0).alias("containment")))
+
+        found.append(F.flatten(F.transform(starts, of_start)))
     for name, windows, width in (("tiny", s, 1), ("short", F.col("__w1"), TILE), ("long", F.col("__w2"), TILE * LONG)):
         group = by[name]
         if not group:

@@ -187,6 +187,20 @@ def test_licenses_are_retrieved(spark, make):
     assert found == {(i, x.template) for i, v in every.items() for x in v}
 
 
+def test_short_notices_and_template_tails(make):
+    """Templates below five words, and text that quotes a long template's last part alone."""
+    notices = {"All rights reserved.": "All-Rights-Reserved", "SPDX-License-Identifier: MIT": "MIT"}
+    texts = [t for n in notices for t in (n, f"some words first {n} and then others", f"x\n{n.upper()}\n")]
+    texts += ["all rights are reserved", "rights reserved all", "all rights", None]
+    got = {r.doc_id: {x.license for x in r.licenses} for r in license_scan.scan_licenses(make(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [{v} for v in notices.values() for _ in range(3)] + [set()] * 4
+    words = [f"v{i}" for i in range(172)]
+    custom = [("one", "Foolicense"), ("two", "MIT License"), ("none", " . "), ("tail", " ".join(words))]
+    found = license_scan.scan_licenses(make(["a Foolicense b", "the mit-license", "mit and license", " ".join(["before it", *words[-44:], "and after"])]), custom).collect()
+    want = {0: [("one", 1, 1.0)], 1: [("two", 1, 1.0)], 2: [], 3: [("tail", 0, 1.0)]}
+    assert {r.doc_id: [(x.license, x.first_shingle, x.containment) for x in r.licenses] for r in found} == want
+
+
 def test_leaks(spark, make):
     rng = np.random.default_rng(8)
     word = lambda: "".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 9))))
