@@ -83,4 +83,17 @@ WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * p
 QUALIFY rank <= 5"""
 
 
-ORACLE_SQL = {"op8_secret_scan": op8(), "op9_jaccard_join": op9(), "op11_hard_negatives": op11()}
+def op12() -> str:
+    """Every window as a string; the earliest of equal ones by a window function."""
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+win AS (SELECT doc_id, k, array_to_string(w[k:k + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d)),
+again AS (SELECT doc_id, k FROM win QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, k) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS j FROM again),
+kept AS (
+  SELECT doc_id, j, word FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d) ANTI JOIN gone USING (doc_id, j)),
+text AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS t FROM kept GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN text USING (doc_id)"""
+
+
+ORACLE_SQL = {"op8_secret_scan": op8(), "op9_jaccard_join": op9(), "op11_hard_negatives": op11(), "op12_substring_dedup": op12()}

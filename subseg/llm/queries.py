@@ -106,12 +106,19 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from subseg.llm.substring_dedup import drop_repeats
+
+    left = drop_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_lm_score, op3_html_text, op4_token_counts, op5_quality_classifier,
         op6_packing, op7_quality_rules, op8_secret_scan, op9_jaccard_join, op10_benchmark_leaks,
-        op11_hard_negatives,
+        op11_hard_negatives, op12_substring_dedup,
     )
 }
 
