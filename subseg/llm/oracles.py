@@ -96,4 +96,31 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN text USING (doc_id)"""
 
 
-ORACLE_SQL = {"op8_secret_scan": op8(), "op9_jaccard_join": op9(), "op11_hard_negatives": op11(), "op12_substring_dedup": op12()}
+def op13() -> str:
+    """Every prefix as a string of turn digests; subtrees by joining each node with all its ancestors."""
+    crc = "xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(c::VARCHAR, ''), lambda ch: [ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"
+    return f"""WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos,
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, n, {crc} % 6 AS h FROM (SELECT c, count(*) AS n FROM t GROUP BY c)),
+convs AS (SELECT x.c, x.h, least(x.h, coalesce(b.n, 0)) AS head FROM h x LEFT JOIN h b ON b.c = x.c - x.c % 100),
+turns AS (
+  SELECT x.c, t.pos, g, chars FROM convs x JOIN t ON t.c = x.c - x.c % 100 AND t.pos < x.head
+  UNION ALL SELECT x.c, head + t.pos - x.h, g, chars FROM convs x JOIN t ON t.c = x.c AND t.pos >= x.h),
+pre AS (
+  SELECT c, pos + 1 AS d, string_agg(g, '') OVER (PARTITION BY c ORDER BY pos) AS p, chars, pos + 1 = count(*) OVER (PARTITION BY c) AS last FROM turns
+  UNION ALL SELECT c, 0, '', 0, NOT EXISTS (SELECT 1 FROM turns y WHERE y.c = convs.c) FROM convs),
+node AS (
+  SELECT p, d, min(c) AS c, count(*) AS n, min(chars) AS chars, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last) AS ends FROM pre GROUP BY p, d),
+kid AS (SELECT left(p, 32 * (d - 1)::INTEGER) AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+below AS (
+  SELECT left(u.p, 32 * k::INTEGER) AS p, sum(CASE WHEN kid.p IS NULL THEN 1 ELSE 0 END) AS leaves, sum((u.n - 1) * u.chars) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM node) u LEFT JOIN kid ON kid.p = u.p GROUP BY 1)
+SELECT node.c AS conv_id, node.d AS depth, up.c AS parent_conv_id, node.n AS n_convs, coalesce(kid.n, 0)::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256
+FROM node JOIN below ON below.p = node.p LEFT JOIN kid ON kid.p = node.p
+LEFT JOIN node up ON node.d > 0 AND up.p = left(node.p, 32 * (node.d - 1)::INTEGER)"""
+
+
+ORACLE_SQL = {"op8_secret_scan": op8(), "op9_jaccard_join": op9(), "op11_hard_negatives": op11(), "op12_substring_dedup": op12(), "op13_prefix_trie": op13()}

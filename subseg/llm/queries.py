@@ -113,12 +113,18 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from subseg.llm.prefix_trie import grafted, prefix_trie, turn_table
+
+    return prefix_trie(*grafted(turn_table(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_lm_score, op3_html_text, op4_token_counts, op5_quality_classifier,
         op6_packing, op7_quality_rules, op8_secret_scan, op9_jaccard_join, op10_benchmark_leaks,
-        op11_hard_negatives, op12_substring_dedup,
+        op11_hard_negatives, op12_substring_dedup, op13_prefix_trie,
     )
 }
 
