@@ -3,7 +3,7 @@
 A window is ``span`` consecutive words of one document. A word goes if it is covered by a window
 whose word sequence also starts earlier (smaller id, or earlier in the same document).
 
-1. A count sketch of all 4-word grams ranks grams: ordinary ones first, then by doublings of
+1. A count sketch of all 2-word grams ranks grams: ordinary ones first, then by doublings of
    their count. A window's minimiser is its least gram by (rank, hash), so the grams of a frequent line or
    passage are chosen only where a window holds nothing rarer.
 2. Consecutive windows that share a minimiser travel as one packed string to the bucket of
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from subseg.llm import words as W
 
 SPAN = 20
-GRAM = 4
-FLUSH_BYTES = 4 << 20
+GRAM = 2
+FLUSH_BYTES = 8 << 20
 #: packed strings that a bucket should hold
 BUCKET_BYTES = 16 << 20
 MAX_SKETCH_BITS = 24
@@ -76,7 +76,7 @@ def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 
 def pack(*arrays: np.ndarray) -> bytes:
     head = ",".join(f"{a.dtype.str}{len(a)}" for a in arrays).encode()
-    return zstandard.compress(b"\0".join([head, b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)]), 1)
+    return zstandard.compress(b"\0".join([head, b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)]), 3)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -194,7 +194,7 @@ def _order_keys(ids: pa.Array, w: W.Words) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(w.woff)
     place = np.arange(len(w.hash)) - np.repeat(w.woff[:-1], n)
     total = np.concatenate([[U(0)], np.cumsum(W.mix(w.hash + place.astype(np.uint64) * _B), dtype=np.uint64)])
-    return low, (W.mix(total[w.woff[1:]] - total[w.woff[:-1]]) >> U(1)).astype(np.int64)
+    return low, (W.mix(total[w.woff[1:]] - total[w.woff[:-1]]) >> U(32)).astype(np.uint32)
 
 
 SHIPPED = "bucket int, flush long, part int, blob binary"
@@ -224,13 +224,18 @@ def _ship(docs: DataFrame, ranks, bits: int, buckets: int, span: int, gram: int)
         entry[o] = np.cumsum(lead) - 1
         e = o[lead]  # the earliest place of each distinct string
         earliest = code == code[e][entry]
+        # within a bucket strings go by place: their ids ascend and are sent as differences
+        to = np.lexsort((code[e], bucket[e]))
+        back = np.empty(len(e), np.int64)
+        back[to] = np.arange(len(e))
+        e, entry = e[to], back[entry]
         if len(e):
             cut = np.append(0, np.flatnonzero(np.diff(bucket[e])) + 1)
             rows: list[tuple] = []
             for lo, hi in zip(cut, np.append(cut[1:], len(e)), strict=True):
                 x = e[lo:hi]
                 lo_byte, size = at[first[x]], at[first[x] + n[x] + span - 1] - at[first[x]]
-                rows.append((int(bucket[x[0]]), pack(n[x].astype(np.uint8), ids[doc[x]], order[doc[x]], pos[x].astype(np.uint32), gather(text, lo_byte, size))))
+                rows.append((int(bucket[x[0]]), pack(n[x].astype(np.uint8), np.diff(ids[doc[x]], prepend=0), order[doc[x]], pos[x].astype(np.uint32), gather(text, lo_byte, size))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
                 names=["bucket", "flush", "part", "blob"],
@@ -323,7 +328,7 @@ def _bucket(span: int):
             parts += [unpack(x.as_py()) for x in col(rest, "blob")]
         if not parts:
             return
-        n, ids, order, pos, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+        n, ids, order, pos, text = (np.concatenate(x) for x in zip(*[(p[0], np.cumsum(p[1]), *p[2:]) for p in parts], strict=True))
         n, pos = n.astype(np.int64), pos.astype(np.int64)
         o = np.lexsort((pos, order, ids))
         step = np.ones(len(o), np.int64)

@@ -102,7 +102,7 @@ def test_runs_share_a_minimiser_and_hold_all_windows():
     w = W.words_of(pa.array([" ".join(corpus(3, 20)), None, "a b"]))
     start, n, doc, key, same = S.super_kmers(w, np.zeros(16, np.uint8), 4, 20, 4)
     at, _ = W.window_docs(w.woff, 20)
-    assert n.sum() == len(at) and n.max() <= 17
+    assert n.sum() == len(at) and n.max() <= 17  # 20 - 4 + 1
     assert (np.concatenate([np.arange(s, s + k) for s, k in zip(start, n)]) == at).all()
     h = S.gram_hashes(w.hash, 4)
     for s, k, m in zip(start, n, key):
