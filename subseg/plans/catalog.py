@@ -257,6 +257,7 @@ def q_eval_by_quality(spark: SparkSession, sf: str) -> DataFrame:
     gold, pred = _eval_inputs(spark, sf)
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("bigint").alias("quality"))
     gold = gold.join(labels, "doc_id", "inner").select("doc_id", "pos", "seg", "quality")
+    pred = pred.join(labels, "doc_id", "left_semi")  # only labelled documents are scored, on both sides
     return _eval_cols(ev.evaluate(gold, pred, ["doc_id", "pos"], ("quality",)), ("quality",))
 
 
