@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import every_kth
+from .numbering import number_rows
 
 
 def holdout_split(rows: DataFrame, key_cols: list[str], test_prop: float = 0.1) -> DataFrame:
@@ -21,6 +22,19 @@ def holdout_split(rows: DataFrame, key_cols: list[str], test_prop: float = 0.1)
     return rows.withColumn("is_test", every_kth(key, test_prop).cast("int"))
 
 
+def holdout_kth(rows: DataFrame, order: list[str], test_prop: float = 0.1) -> DataFrame:
+    """Add ``is_test INT``: exactly every k-th row in the order of ``order``, k = int(1 / test_prop).
+
+    Rows are numbered from 1, so that the first held-out row is the k-th.  The
+    numbers come from partition counts and offsets, not from one task.
+    """
+    step = int(1 / test_prop) if test_prop > 0 else 0
+    if not step:
+        return rows.withColumn("is_test", F.lit(0))
+    numbered = number_rows(rows, order, "__no")
+    return numbered.withColumn("is_test", ((F.col("__no") + 1) % step == 0).cast("int")).drop("__no")
+
+
 def sentence_chunks(words: DataFrame, doc_col: str = "doc_id", pos_col: str = "pos",
                     max_len: int = 100) -> DataFrame:
     """Sentence numbers: a sentence closes after a ``.`` word or at ``max_len + 1`` words.

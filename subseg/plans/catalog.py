@@ -10,6 +10,8 @@ either exact divisions (bit-identical in both engines) or reduced to
 
 from __future__ import annotations
 
+import os
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,10 @@ from ..operators import lexicon as lx
 from ..operators.encode import Encoder, fit_encoders, fit_encoders_from_parts
 from ..operators.silver import silver_seg
 from ..session import table
-from ..sources.corpus import words_from_turns, words_with_context
+from ..sources.corpus import words_from_lines, words_from_turns, words_with_context
+from ..sources.sinks import write_lines
+from ..sources.tables import read_seg_table
+from ..streaming.segment import scratch_path
 from . import fixture as fx
 from .fixture import checksum
 
@@ -284,7 +289,39 @@ def q_char_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return ev.char_accuracy(scored)
 
 
+def q_split_kth(spark: SparkSession, sf: str) -> DataFrame:
+    """Exactly every tenth word of the corpus, by its number in the order of documents and positions."""
+    rows = ctx_ops.holdout_kth(fx.words(spark, sf).select("doc_id", "pos", "word"), ["doc_id", "pos"], 0.1)
+    return rows.groupBy("doc_id").agg(F.sum("is_test").cast("bigint").alias("n_test"), F.count(F.lit(1)).alias("n"),
+                                      checksum("pos", "word", "is_test").alias("checksum"))
+
+
+def q_ordered_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus written as a word-per-line text in order (K1) and read back with its context."""
+    path = scratch_path(spark, "lines")
+    write_lines(fx.words(spark, sf).select("doc_id", "pos", "word"), path, ["doc_id", "pos"], F.col("word"))
+    back = words_from_lines(spark, path, one_document=True)
+    return back.groupBy(F.floor(F.col("pos") / 1000).cast("bigint").alias("chunk")).agg(
+        F.count(F.lit(1)).alias("n"), checksum("pos", "word", "prev_word", "next_word").alias("checksum"))
+
+
+def q_ordered_seg_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-column segmentation files, one folder a language, written in order and read back (K3, S3)."""
+    path = scratch_path(spark, "seg-table")
+    gold = fx.silver(spark, sf).select("lang", "doc_id", "pos", F.concat_ws("\t", "word", "seg").alias("line"))
+    write_lines(gold, path, ["lang", "doc_id", "pos"], F.col("line"), ["lang"])
+    langs = [r["lang"] for r in gold.select("lang").distinct().collect()]  # some languages
+    out = None
+    for lang in langs:
+        t = read_seg_table(spark, os.path.join(path, f"lang={lang}"), one_document=True).withColumn("lang", F.lit(lang))
+        out = t if out is None else out.unionByName(t)
+    return out.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), checksum("pos", "prev_word", "next_word", "word", "seg").alias("checksum"))
+
+
 SPARK_QUERIES = {
+    "split_kth": q_split_kth,
+    "ordered_lines": q_ordered_lines,
+    "ordered_seg_table": q_ordered_seg_table,
     "words": q_words,
     "turn_words": q_turn_words,
     "silver_segs": q_silver_segs,
@@ -630,6 +667,14 @@ ORACLE_SQL = {
                    f"(SELECT DISTINCT word, upper(lang) AS tag FROM words WHERE lang IS NOT NULL) GROUP BY word)\n"
                    f"SELECT tags, count(*) AS n, {cks('word')} AS checksum FROM lexr GROUP BY tags",
     "freq_norm": f"WITH {WORDS}{FREQS}\nSELECT word, cnt, freq FROM freqs",
+    "split_kth": f"WITH {SILVER},\nk AS (SELECT doc_id, pos, word, (row_number() OVER (ORDER BY doc_id, pos) % 10 = 0)::INTEGER AS is_test FROM silver)\n"
+                 f"SELECT doc_id, sum(is_test)::BIGINT AS n_test, count(*) AS n, {cks('pos', 'word', 'is_test')} AS checksum FROM k GROUP BY 1",
+    "ordered_lines": f"WITH {SILVER},\nl AS (SELECT row_number() OVER w - 1 AS pos, word, coalesce(lag(word) OVER w, '_') AS prev_word, "
+                     f"coalesce(lead(word) OVER w, '_') AS next_word FROM silver WINDOW w AS (ORDER BY doc_id, pos))\n"
+                     f"SELECT pos // 1000 AS chunk, count(*) AS n, {cks('pos', 'word', 'prev_word', 'next_word')} AS checksum FROM l GROUP BY 1",
+    "ordered_seg_table": f"WITH {SILVER},\nl AS (SELECT lang, row_number() OVER w - 1 AS pos, word, seg, coalesce(lag(word) OVER w, '_') AS prev_word, "
+                         f"coalesce(lead(word) OVER w, '_') AS next_word FROM silver WINDOW w AS (PARTITION BY lang ORDER BY doc_id, pos))\n"
+                         f"SELECT lang, count(*) AS n, {cks('pos', 'prev_word', 'next_word', 'word', 'seg')} AS checksum FROM l GROUP BY 1",
     "split_hash": f"WITH {SPLIT}\nSELECT lang, sum(is_test)::BIGINT AS n_test, sum(1 - is_test)::BIGINT AS n_train "
                   f"FROM split GROUP BY lang",
     "train_freqs": f"WITH {SPLIT}\nSELECT word, n FROM tfreqs",

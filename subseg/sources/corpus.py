@@ -100,16 +100,23 @@ def words_from_turns(conv: DataFrame, predict: bool = False) -> DataFrame:
     return e.filter(F.col("word") != "")
 
 
-def words_from_lines(spark: SparkSession, paths, predict: bool = True) -> DataFrame:
+def words_from_lines(spark: SparkSession, paths, predict: bool = True, one_document: bool = False) -> DataFrame:
     """Word-per-line files (S1) -> ``(file, pos, word, prev_word, next_word)``.
 
-    Each file is read whole (``wholetext``) so line order is kept without a
-    global window; empty lines stay as empty words (``predict`` context maps
-    them to ``_``).  This is the reference's file format; bulk corpora belong
-    in tables that carry their own ``(doc, pos)`` key.
+    A file splits across tasks (``lines.ordered_lines``).  Empty lines inside
+    stay as empty words; ``predict`` context maps them to ``_``.
     """
-    raw = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value"))
-    lines = F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), _STRIP, ""), "\n")
-    e = _explode_with_neighbours(raw.select("file", lines.alias("ws")), ["file"], predict=predict)
-    return e.filter(F.col("word").isNotNull())
+    from .lines import ordered_lines
+    x = ordered_lines(spark, paths, one_document)
+
+    def context(c: str) -> Column:
+        near = F.coalesce(c, F.lit(MISSING))
+        return F.when(near == "", F.lit(MISSING)).otherwise(near) if predict else near
+
+    return x.select("file", "pos", F.col("value").alias("word"), context("prev").alias("prev_word"), context("next").alias("next_word"))
+
+
+def words_from_input(df: DataFrame, key: str, text_col: str = "text", keep: tuple[str, ...] = (), predict: bool = True) -> DataFrame:
+    """Strings handed in (S2), a row each -> words with context; a string without a line feed is one word."""
+    x = df.select(key, *keep, split_input(F.col(text_col)).alias("ws"))
+    return _explode_with_neighbours(x, [key, *keep], predict=predict).filter(F.col("word") != "")
