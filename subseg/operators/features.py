@@ -90,6 +90,19 @@ def _freq(m: Column, key: Column) -> Column:
     return F.coalesce(F.try_element_at(m, key).getField("freq"), F.lit(0.0))
 
 
+#: name of the feature that a tag column (a sequence tagger's output) becomes
+TAG_FEATURE = "bert"
+
+
+def tag_feature(tag: Column) -> Column:
+    """A word's tag as a feature (P8): no tag is ``O``, ``CDO`` is shown as ``X``."""
+    t = F.coalesce(tag, F.lit("O"))
+    return F.when(t == "CDO", F.lit("X")).otherwise(t)
+
+
+#: features read from a word's lookup map
+LOOKUP_COLS = {"group_in_lex", "so_far_pos", "remaining_pos", "remaining_pos_mns1", "remaining_pos_mns2", "freq_ratio",
+               *(f"{s}{n}_coarse" for s in ("mns", "pls") for n in WINDOW_SIZES)}
 INTERNAL_COLS = [c for c in CAT_COLS + NUM_COLS if not c.startswith(("prev_grp", "next_grp"))]
 
 
@@ -100,7 +113,10 @@ def type_char_features(types: DataFrame, maps: DataFrame, cfg: SegConfig, has_fr
     the word alone, so they are computed once per type (Zipf: far fewer
     types than tokens) and joined to the tokens afterwards.
     """
-    r = types.join(maps, "word", "left")
+    if maps is None:  # no feature looks anything up
+        r = types.withColumn("m", F.lit(None).cast("map<string,struct<tags:string,freq:double>>"))
+    else:
+        r = types.join(maps, "word", "left")
     w, m = F.col("word"), F.col("m")
     L = F.length(w)
     r = r.select("word", "m", F.explode(F.sequence(F.lit(0), L - 1)).alias("idx"))
@@ -174,7 +190,7 @@ def token_context(rows: DataFrame, lex_tags: DataFrame) -> DataFrame:
 
 def char_features(rows: DataFrame, lex_tags: DataFrame, freqs: DataFrame | None, cfg: SegConfig,
                   seg_col: str | None = None, keep: tuple[str, ...] = (),
-                  tag_col: str | None = None, encode_with=None) -> DataFrame:
+                  tag_col: str | None = None, encode_with=None, only: list[str] | None = None) -> DataFrame:
     """``rows(word, prev_word, next_word, *keep[, seg])`` -> one row per character.
 
     Output: ``*keep, word, CAT_COLS (STRING), NUM_COLS`` (+ ``label INT`` when
@@ -182,35 +198,44 @@ def char_features(rows: DataFrame, lex_tags: DataFrame, freqs: DataFrame | None,
     ``encode_with(frame, cat_cols, keep_cols)`` the categorical columns are
     codes: each side of the join is encoded before its rows fan out, type rows
     for the word's own columns, token rows for the neighbours'.
+    ``only``: the features to make (default all), so that ablated ones are
+    neither looked up nor encoded.
     """
+    cat_cols = [c for c in CAT_COLS if only is None or c in only]
+    num_cols = [c for c in NUM_COLS if only is None or c in only]
     rows = rows.filter(F.length("word") > 0)
+    if tag_col is not None:
+        rows = rows.withColumn(TAG_FEATURE, tag_feature(F.col(tag_col)))
     if seg_col is not None:
         # boundary bits once per word (three regex passes), not once per character
         rows = rows.withColumn("_bits", boundary_bits(F.col(seg_col)))
     types = rows.select("word").distinct()
-    maps = lookup_maps(types, lookup_dict(lex_tags, freqs))
+    asks = {*cat_cols, *num_cols} & LOOKUP_COLS
+    maps = lookup_maps(types, lookup_dict(lex_tags, freqs)) if asks else None
     tchars = type_char_features(types, maps, cfg, freqs is not None)
     context = token_context(rows, lex_tags)
     if encode_with is not None:
-        inner = [c for c in CAT_COLS if c in INTERNAL_COLS]
-        outer = [c for c in CAT_COLS if c not in INTERNAL_COLS]
-        tchars = encode_with(tchars, inner, [c for c in tchars.columns if c not in inner])
-        context = encode_with(context, outer, [c for c in context.columns if c not in outer])
+        inner = [c for c in cat_cols if c in INTERNAL_COLS]
+        outer = [c for c in cat_cols if c not in INTERNAL_COLS] + ([TAG_FEATURE] if tag_col is not None else [])
+        need = {*num_cols, "word", "idx", "len_bound_group"}
+        tchars = encode_with(tchars, inner, [c for c in tchars.columns if c in need])
+        context = encode_with(context, outer, [c for c in context.columns if c not in CAT_COLS and c != TAG_FEATURE])
     # one-to-many: every token gets its type's character rows (a hot word's
     # tokens are split across tasks by AQE's skew join)
     r = context.join(tchars, "word", "inner")
 
-    out = [*[k for k in keep if k != "word"], "word", *CAT_COLS, *NUM_COLS]
+    index = [c for c in ("idx", "len_bound_group") if c not in num_cols]
+    out = [*[k for k in keep if k != "word"], "word", *cat_cols, *num_cols, *index]
     if tag_col is not None:
-        t = F.coalesce(F.col(tag_col), F.lit("O"))
-        out.append(F.when(t == "CDO", F.lit("X")).otherwise(t).alias("bert"))
+        out.append(TAG_FEATURE)
     if seg_col is not None:
         out.append(bit_at(F.col("_bits"), F.col("idx")).alias("label"))
     return r.select(*out)
 
 
 def feature_value_frames(rows: DataFrame, lex_tags: DataFrame, freqs: DataFrame | None,
-                         cfg: SegConfig) -> tuple[DataFrame, DataFrame]:
+                         cfg: SegConfig, tag_col: str | None = None,
+                         only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The two small frames whose value sets equal the character frame's.
 
     Word-internal columns take the same values over the distinct types'
@@ -219,6 +244,10 @@ def feature_value_frames(rows: DataFrame, lex_tags: DataFrame, freqs: DataFrame
     value while reading ~types x length and tokens rows, not tokens x length.
     """
     rows = rows.filter(F.length("word") > 0)
+    if tag_col is not None:
+        rows = rows.withColumn(TAG_FEATURE, tag_feature(F.col(tag_col)))
     types = rows.select("word").distinct()
-    tchars = type_char_features(types, lookup_maps(types, lookup_dict(lex_tags, freqs)), cfg, freqs is not None)
+    asks = LOOKUP_COLS if only is None else LOOKUP_COLS & set(only)
+    maps = lookup_maps(types, lookup_dict(lex_tags, freqs)) if asks else None
+    tchars = type_char_features(types, maps, cfg, freqs is not None)
     return tchars, token_context(rows, lex_tags)
