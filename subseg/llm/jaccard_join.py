@@ -12,10 +12,13 @@ A document's set is its distinct 5-word shingles (64-bit hashes). Steps:
    or its best remaining overlap (size minus position) can't reach the threshold.
 3. A set's counts by hash bucket (as many buckets as shingles, a byte each) bound
    the difference of two sets from below: pairs whose counts differ too much are dropped, surely unlinked.
-4. Answers are derived where sets are related: a long list first yields only
-   neighbour pairs; of all candidates of a set one is verified at first. Sets that come
-   out in one component need no pair between them; a list whose sets are all in one component is skipped whole.
-   All pairs left between different components are then verified exactly on full sets.
+4. Short lists yield their candidate pairs; of all candidates of a set one is verified first, and sets that come
+   out in one component need no pair between them.
+5. Long lists are never paired. In each of some rounds every set goes, with its items, to its longest list that still
+   holds different components; blocks of such a list are compared inside a task, and a set found similar to one
+   set takes over that set's component, so that its other partners need no look. What lists hold different
+   components after that is compared exhaustively, block against block, sizes permitting, a task each. Tasks
+   return only links that join two components, so a list of n sets makes n rows, not pairs.
 
 Nothing is capped: every candidate pair is excluded by a bound, verified, or joins two sets
 that are already in one component.
@@ -32,8 +35,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subseg.llm import words as W
@@ -50,6 +54,10 @@ SKETCH_CHUNK = 1 << 16
 SHORT_LIST = 16
 #: entries of a list that are skipped or compared together
 BLOCK = 64
+#: sets of a long list that a task holds on each side
+LIST_BLOCK = 512
+#: rounds in which a set is compared within one list only
+VOTES = 3
 #: ids up to which candidate documents are found by a broadcast; beyond, by a shuffled join
 BROADCAST_IDS = 2_000_000
 ENTRIES_PER_SHARD = 1_000_000
@@ -221,33 +229,76 @@ def _reach(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray) -> np
     return (DEN * np.minimum(n1, n2) >= NUM * np.maximum(n1, n2)) & ((NUM + DEN) * np.minimum(n1 - p1, n2 - p2) >= NUM * (n1 + n2))
 
 
-def _pairs_of_list(n: np.ndarray, p: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one list (by size) whose groups differ and that may reach the threshold; blocks that can't are skipped."""
-    left, right = [], []
+def links_between(sid: np.ndarray, n: np.ndarray, p: np.ndarray, root: np.ndarray, off: np.ndarray, items: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join components among the sets of a list: sets i (``items[off[i]:off[i + 1]]``, sorted) of different
+    components that reach the threshold. With two sides (0 and 1) only sets of different sides are compared."""
+    order = np.lexsort((sid, n))
+    sid, n, p, side = sid[order], n[order], p[order], side[order]
+    starts, sizes = off[:-1][order], np.diff(off)[order]
+    _, label = np.unique(root[order], return_inverse=True)
+    up = np.arange(label.max() + 1)  # forest of components
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    both = side.any() and not side.all()
     rest = n - p
+    out: list[tuple[int, int]] = []
+
+    def values(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        size = sizes[lo:hi]
+        at = np.arange(int(size.sum())) + np.repeat(starts[lo:hi] - (np.cumsum(size) - size), size)
+        return items[at], np.repeat(np.arange(hi - lo), size)
+
     for lo in range(0, len(n), BLOCK):
         hi = min(lo + BLOCK, len(n))
+        known = rows = None
         # sizes beyond the largest that this block's sets can match end the scan
         stop = int(np.searchsorted(n, n[hi - 1] * DEN // NUM, side="right"))
         for at in range(lo, stop, BLOCK):
             to = min(at + BLOCK, stop)
             if (NUM + DEN) * min(rest[lo:hi].max(), rest[at:to].max()) < NUM * (n[lo] + n[at]):
                 continue
-            ok = _reach(n[lo:hi, None], p[lo:hi, None], n[None, at:to], p[None, at:to]) & (group[lo:hi, None] != group[None, at:to])
+            ok = _reach(n[lo:hi, None], p[lo:hi, None], n[None, at:to], p[None, at:to]) & (label[lo:hi, None] != label[None, at:to])
             if at == lo:
                 ok &= np.arange(lo, hi)[:, None] < np.arange(at, to)[None, :]
-            i, j = np.nonzero(ok)
-            left.append(i + lo)
-            right.append(j + at)
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+            if both:
+                ok &= side[lo:hi, None] != side[None, at:to]
+            if not ok.any():
+                continue
+            if known is None:
+                v, of = values(lo, hi)
+                known, col = np.unique(v, return_inverse=True)
+                rows = np.zeros((hi - lo, len(known)), np.float32)
+                rows[of, col] = 1
+            v, of = values(at, to)
+            col = np.minimum(np.searchsorted(known, v), len(known) - 1)
+            hit = known[col] == v
+            other = np.zeros((to - at, len(known)), np.float32)
+            other[of[hit], col[hit]] = 1
+            overlap = (rows @ other.T).astype(np.int64)
+            ok &= (NUM + DEN) * overlap >= NUM * (n[lo:hi, None] + n[None, at:to])
+            before = len(out)
+            for x, y in zip(*(z.tolist() for z in np.nonzero(ok)), strict=True):
+                a, b = find(label[lo + x]), find(label[at + y])
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    out.append((int(sid[lo + x]), int(sid[at + y])))
+            if len(out) > before:
+                while not np.array_equal(up, up[up]):
+                    up = up[up]
+                label = up[label]
+    return out
 
 
 LISTS = "a long, b long, list long, n long, pos long"
 
 
 def _index_lists(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's lists: candidate pairs (a, b) of short lists and neighbours of long ones; entries (a, list, n, pos) of long lists."""
+    """A shard's lists: candidate pairs (a, b) of short lists; entries (a, list, n, pos) of long lists."""
     shard = key[0].as_py()
     parts: list[tuple] = []
     for batch in batches:
@@ -278,17 +329,13 @@ def _index_lists(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     found: list[np.ndarray] = []
     for step in range(1, SHORT_LIST):
         i = np.arange(len(tok) - step)
-        i = i[(tok[i] == tok[i + step]) & ((size_of[i] <= SHORT_LIST) | (step == 1))]
+        i = i[(tok[i] == tok[i + step]) & (size_of[i] <= SHORT_LIST)]
         if not len(i):
             break
         i = i[_reach(n[i], pos[i], n[i + step], pos[i + step])]
         found.append(np.stack([sid[i], sid[i + step]], axis=1))
     long = size_of > SHORT_LIST
-    first = np.repeat(start, length)
-    i = np.flatnonzero(long)
-    i = i[(i != first[i])]
-    i = i[_reach(n[first[i]], pos[first[i]], n[i], pos[i])]
-    found.append(np.stack([sid[first[i]], sid[i]], axis=1))
+    found.append(np.zeros((0, 2), np.int64))
     pair = np.concatenate(found)
     pair.sort(axis=1)
     pair = np.unique(pair, axis=0)
@@ -303,16 +350,72 @@ def _index_lists(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         )
 
 
-def _list_pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a list between different components that neither positions nor bucket counts exclude."""
-    t = pa.Table.from_batches(list(batches)).sort_by([("n", "ascending"), ("a", "ascending")])
-    sid, n, pos, root = (t.column(c).to_numpy() for c in ("a", "n", "pos", "root"))
-    tally = [np.frombuffer(x, np.uint8) for x in t.column("tally").to_pylist()]
-    i, j = _pairs_of_list(n, pos, root)
-    ok = np.fromiter((_near(tally[x], n[x], tally[y], n[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
-    pair = np.stack([sid[i[ok]], sid[j[ok]]], axis=1)
-    pair.sort(axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+def _task_links(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links that join components of one task's sets (a, n, pos, root, side, items)."""
+    t = pa.Table.from_batches(list(batches)).combine_chunks()
+    col = lambda c: t.column(c).to_numpy()
+    lists = t.column("items").chunk(0)
+    off = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    items = lists.flatten().to_numpy().view(np.uint64)
+    links = links_between(col("a"), col("n"), col("pos"), col("root"), off, items, col("side"))
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _compared(sides: DataFrame, keys: list[str], full: DataFrame) -> DataFrame:
+    """Links of rows (a, n, pos, root, side, *keys), a task for each key."""
+    both = sides.join(full.withColumnRenamed("set_id", "a"), "a")
+    return stored(both.groupBy(*keys).applyInArrow(_task_links, "a long, b long"), "links")
+
+
+def _voted(entries: DataFrame, full: DataFrame) -> DataFrame:
+    """Links found when every set looks at its longest open list alone, in blocks."""
+    best = entries.groupBy("a").agg(F.max(F.struct("size", "list", "n", "pos", "root")).alias("e")).select("a", "e.*")
+    voters = best.groupBy("list").agg(F.ceil(F.count("*") / LIST_BLOCK).alias("blocks"))
+    dealt = best.join(voters, "list").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")))
+    return _compared(dealt.select("a", "n", "pos", "root", F.lit(0).alias("side"), "list", "block"), ["list", "block"], full)
+
+
+def _exhausted(entries: DataFrame, full: DataFrame) -> DataFrame:
+    """Links among all sets of each open list: blocks of similar sizes against each other, a task for each two blocks."""
+    band = F.floor(F.log(F.col("n")) / float(np.log(DEN / NUM)) + 1e-9).cast("long")  # sets that link are at most one band apart
+    banded = entries.withColumn("band", band)
+    blocks = banded.groupBy("list", "band").agg(F.ceil(F.count("*") / LIST_BLOCK).alias("blocks"))
+    near = lambda d, name: blocks.select("list", (F.col("band") + d).alias("band"), F.col("blocks").alias(name))
+    sizes = blocks.join(near(1, "below"), ["list", "band"], "left").join(near(-1, "above"), ["list", "band"], "left")
+    x = banded.join(sizes, ["list", "band"]).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")))
+
+    def against(count: str, b1, i1, b2, i2, side) -> Column:
+        there = F.when(F.col(count) > 0, F.sequence(F.lit(0).cast("long"), F.col(count) - 1)).otherwise(F.array().cast("array<long>"))
+        return F.transform(there, lambda j: F.struct(b1.alias("b1"), i1(j).alias("i1"), b2.alias("b2"), i2(j).alias("i2"), side(j).alias("side")))
+
+    b, own = F.col("band"), F.col("own")
+    same = against("blocks", b, lambda j: F.least(own, j), b, lambda j: F.greatest(own, j), lambda j: (own > j).cast("int"))
+    up = against("above", b, lambda j: own, b + 1, lambda j: j, lambda j: F.lit(0))
+    down = against("below", b - 1, lambda j: j, b, lambda j: own, lambda j: F.lit(1))
+    pairs = x.select("a", "n", "pos", "root", "list", F.explode(F.concat(same, up, down)).alias("t")).select("a", "n", "pos", "root", "list", "t.*")
+    return _compared(pairs, ["list", "b1", "i1", "b2", "i2"], full)
+
+
+def _long_lists(narrow: DataFrame, sets: DataFrame, long_lists: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Components after every long list is settled."""
+    full = None
+    for turn in range(VOTES + 1):
+        rooted = long_lists.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+        mixed = rooted.groupBy("list").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("size")).where("r1 <> r2")
+        entries = stored(rooted.join(mixed.select("list", "size"), "list"), "open")
+        if not entries.head(1):
+            return roots
+        if full is None:
+            full = _full_sets(narrow, sets.join(_named(entries.select("a")), "set_id"))
+        more = _voted(entries, full) if turn < VOTES else _exhausted(entries, full)
+        found = bool(more.head(1))
+        if found:
+            links = links.union(more)
+            roots = connected_components(links)
+        elif turn < VOTES:  # nothing more by votes
+            more = _exhausted(entries, full)
+            return connected_components(links.union(more)) if more.head(1) else roots
+    return roots
 
 
 def bucket_counts(items: np.ndarray) -> np.ndarray:
@@ -446,7 +549,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         # no two different sets meet; equal sets are one component all the same
         return _components_of(per_doc, sets, sets.select(F.col("set_id").alias("node"), F.col("set_id").alias("root")))
 
-    tallies = _tallies(narrow, sets.join(_named(pairs, long_lists.select("a")), "set_id"))
+    tallies = _tallies(narrow, sets.join(_named(pairs), "set_id"))
     pairs = stored(_near_pairs(pairs, tallies), "pairs")
     full = _full_sets(narrow, sets.join(_named(pairs), "set_id"))
     # a set's first partner decides whether the others need a look
@@ -456,16 +559,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if more.head(1):
         links = links.union(more)
         roots = connected_components(links)
-    # long lists: those within one component are skipped whole
-    rooted = long_lists.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    mixed = rooted.groupBy("list").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("list")
-    open_lists = rooted.join(mixed, "list", "left_semi").join(tallies.select(F.col("set_id").alias("a"), "tally"), "a")
-    left = stored(open_lists.groupBy("list").applyInArrow(_list_pairs, "a long, b long").distinct(), "pairs")
-    if left.head(1):
-        more = _verified(left, _full_sets(narrow, sets.join(_named(left), "set_id")))
-        if more.head(1):
-            links = links.union(more)
-            roots = connected_components(links)
+    roots = _long_lists(narrow, sets, long_lists, links, roots)
 
     return _components_of(per_doc, sets, roots)
 

@@ -101,16 +101,63 @@ def test_bucket_counts_exclude_no_link():
             assert near or 7 * both < 3 * (len(x) + len(y))
 
 
-def test_block_skipping_keeps_every_pair():
+def test_links_of_a_list_join_what_all_pairs_would():
+    """One side or two, any components known before: the same components as all pairs, and no link too many."""
     rng = np.random.default_rng(5)
-    for _ in range(20):
-        m = int(rng.integers(2, 300))
-        n = np.sort(rng.integers(1, 400, m))
-        p = (rng.random(m) * np.maximum(n // 4, 1)).astype(np.int64)
-        group = rng.integers(0, 4, m)
-        i, j = J._pairs_of_list(n, p, group)
-        want = {(a, b) for a in range(m) for b in range(a + 1, m) if group[a] != group[b] and bool(J._reach(n[a], p[a], n[b], p[b]))}
-        assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
+    for turn in range(30):
+        m = int(rng.integers(2, 220))
+        bases = [rng.integers(0, 2**60, int(rng.integers(4, 60)), dtype=np.uint64) for _ in range(6)]
+        sets = []
+        for _ in range(m):
+            b = bases[int(rng.integers(0, 6))]
+            keep = b[rng.random(len(b)) > rng.choice([0.0, 0.05, 0.2])]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**60, int(rng.integers(1, 5)), dtype=np.uint64)])))
+        n = np.array([len(x) for x in sets])
+        off = np.concatenate([[0], np.cumsum(n)])
+        root = rng.integers(0, m, m) if turn % 2 else np.arange(m)
+        side = rng.integers(0, 2, m) if turn % 3 == 0 else np.zeros(m, int)
+        sid = rng.permutation(10 * m)[:m]
+        links = J.links_between(sid, n, np.zeros(m, np.int64), root, off, np.concatenate(sets), side)
+
+        def parts(edges):
+            up = {("r", r): ("r", r) for r in root.tolist()}
+
+            def find(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            at = dict(zip(sid.tolist(), root.tolist()))
+            for a, b in edges:
+                up[find(("r", at[a]))] = find(("r", at[b]))
+            return [find(("r", r)) for r in root.tolist()], len({find(x) for x in up})
+
+        all_pairs = []
+        for a in range(m):
+            for b in range(a):
+                if 7 * len(np.intersect1d(sets[a], sets[b])) >= 3 * (n[a] + n[b]) and (not side.any() or side.all() or side[a] != side[b]):
+                    all_pairs.append((int(sid[a]), int(sid[b])))
+        assert set(links) <= {x for a, b in all_pairs for x in ((a, b), (b, a))}
+        got, want = parts(links), parts(all_pairs)
+        assert got[1] == want[1] and len(links) == len(set(root.tolist())) - got[1]
+        assert len(set(zip(map(str, got[0]), map(str, want[0])))) == got[1]
+
+
+def test_long_list_of_unlinked_sets_with_some_near_copies(spark, make, monkeypatch):
+    """A passage that all texts hold makes lists of all sets; few sets in them are similar, and tasks hold small blocks."""
+    monkeypatch.setattr(J, "LIST_BLOCK", 100)
+    rng = np.random.default_rng(11)
+    word = lambda: f"v{rng.integers(0, 10**6)}"
+    passage = [word() for _ in range(22)]
+    texts = []
+    for k in range(900):
+        base = passage + [word() for _ in range(int(rng.integers(28, 40)))]
+        texts.append(" ".join(base))
+        if k % 90 == 0:
+            texts.append(" ".join(base[:-1] + [word()]))
+    want, _ = brute(texts)
+    got = J.jaccard_components(make(texts).repartition(4), sketch_bits=4).toPandas().set_index("doc_id").sort_index()
+    assert got.component_id.tolist() == want and len(set(want)) == 900
 
 
 def test_connected_components(spark):
