@@ -17,6 +17,7 @@ are packed each; an empty table has no piece; a document's pieces cover its ids
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,17 +36,37 @@ from subseg.llm.store import stored
 SIZE = 2048
 GROUP = 50_000
 SLICE = 4 << 20
-#: words and pieces whose ids a task keeps between slices
+#: words of a generation, and twice the pieces, whose ids a task keeps between slices
 KEEP = 1 << 18
-_ASCII_PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+#: words of printable ASCII and Latin letters that a composing normalizer leaves alone
+_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+# fixed values: the settings of a tokenizer file under which words can be cut here
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 @lru_cache(2)
 def _load(path: str):
-    """One tokenizer for each worker process, not for each task."""
+    """(tokenizer, how its pre-tokenizer writes each Latin letter), once for each worker process; its file must cut words as we do."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    with open(path, encoding="utf8") as f:
+        said = json.load(f)
+    parts = (said["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])
+    same = (
+        (said["normalizer"] or {}).get("normalizers") == _NORMALIZERS
+        and len(parts) == 2
+        and (parts[0].get("type"), (parts[0].get("pattern") or {}).get("Regex"), parts[0].get("behavior"), parts[0].get("invert")) == ("Split", _SPLIT, "Removed", True)
+        and (parts[1].get("type"), parts[1].get("add_prefix_space"), parts[1].get("use_regex")) == ("ByteLevel", False, False)
+        and all(a["content"].startswith("<|") for a in said["added_tokens"])
+    )
+    if not same:
+        raise ValueError(f"{path}: its normalizer or pre-tokenizer is not one whose words are cut into letters, single digits and other marks")
+    tok = Tokenizer.from_file(path)
+    letters = {c: tok.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in [*range(0xDF, 0x100)] if c != 0xF7}
+    return tok, letters
 
 
 class WordTokens:
@@ -52,21 +74,27 @@ class WordTokens:
 
     ``tokenizer_path``: a ``tokenizers`` file whose normalizer and
     pre-tokenizer look at no more than a word between white space, cut words into letters, single
-    digits and other marks, and set letters in lower case. Words of printable ASCII are cut
+    digits and other marks, and set letters in lower case; its settings are read, and another
+    kind of file is refused. Words of printable ASCII and Latin letters are cut
     here in that way; others (control characters too, which the tokenizer writes as other
     characters) by the tokenizer's own parts. Words with an apostrophe or with the
     beginning of a special token go through the whole tokenizer.
+
+    Ids are kept from slice to slice by the words' bytes; within a slice (4 MB) words are told apart by 64-bit
+    hashes and lengths.
     """
 
     def __init__(self, tokenizer_path: str):
-        self.tok = _load(tokenizer_path)
+        self.tok, self.letters = _load(tokenizer_path)
         self.pieces: dict[str, bytes] = {}
-        self.words: dict[int, bytes] = {}
+        # of the words met lately, in two generations: a full one becomes the old one
+        self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) >= KEEP:
+            if len(self.pieces) >= KEEP // 2:
                 self.pieces.clear()
             ids = self.pieces[piece] = array("I", [t.id for t in self.tok.model.tokenize(piece)]).tobytes()
         return ids
@@ -75,8 +103,10 @@ class WordTokens:
         """Ids of one word, as bytes."""
         if "'" in word or "<|" in word:
             return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
-        if word.isascii() and word.isprintable():
-            parts = _ASCII_PARTS.findall(word.lower())
+        if _SIMPLE.fullmatch(word):
+            parts = _PARTS.findall(word.lower())
+            if not word.isascii():
+                parts = [p.translate(self.letters) for p in parts]
             return self.piece(parts[0]) if len(parts) == 1 else b"".join(map(self.piece, parts))
         parts = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(word))
         return b"".join([self.piece(p) for p, _ in parts])
@@ -86,14 +116,24 @@ class WordTokens:
         w = W.words_of(col)
         if not len(w.hash):
             return np.zeros(len(w.woff), np.int64), np.zeros(0, np.uint32)
-        keys, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.words) >= KEEP:
-            self.words.clear()
+        which, keys = pd.factorize(w.hash)
+        first = np.empty(len(keys), np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+        size = w.ends - w.starts
+        if not np.array_equal(size, size[first][which]):
+            raise ArithmeticError("two words of a slice share a hash")
         raw, known, found = w.data.tobytes(), self.words, []
-        for key, a, b in zip(keys.tolist(), w.starts[first].tolist(), w.ends[first].tolist(), strict=True):
+        for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True):
+            key = raw[a:b]
             ids = known.get(key)
             if ids is None:
-                ids = known[key] = self.word(raw[a:b].decode())
+                ids = self.old.get(key)
+                if ids is None:
+                    ids = self.word(key.decode())
+                if len(known) >= KEEP:
+                    self.old, known = known, {}
+                    self.words = known
+                known[key] = ids
             found.append(ids)
         own = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         begin = np.cumsum(own) - own

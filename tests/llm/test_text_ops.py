@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_helpers import make, odd_texts  # noqa: F401
@@ -70,12 +71,36 @@ def test_word_ids_are_the_tokenizers():
 
     rng = np.random.default_rng(3)
     tok, own = Tokenizer.from_file(WORD_BPE), packing.WordTokens(WORD_BPE)
-    signs = list("abcXYZ019.,-_<|>'$\u00e9\u00c9e\u0301\u0130\u03a3\u03c2\u00df\u4e2d\u00a0\u2028\u0660\u00b2\U0001f600") + ["'s", "'LL", "<|endoftext|>", "the"]
+    signs = list("abcXYZ019.,-_<|>'$\u00e9\u00c9e\u0301\u0130\u03a3\u03c2\u00df\u4e2d\u00a0\u2028\u0660\u00b2\U0001f600\u00ff\u00dd\u00d7\u00f7\u00aa\u00b5\u00f1") + ["'s", "'LL", "<|endoftext|>", "the"]
     for _ in range(3000):
         word = "".join(rng.choice(signs, int(rng.integers(1, 9))))
         assert np.frombuffer(own.word(word), np.uint32).tolist() == tok.encode(word, add_special_tokens=False).ids, repr(word)
 
 
+def test_another_kind_of_tokenizer_file_is_refused(tmp_path):
+    import json
+
+    said = json.load(open(WORD_BPE, encoding="utf8"))
+    said["normalizer"]["normalizers"] = said["normalizer"]["normalizers"][:2]  # keeps capitals
+    (tmp_path / "other.json").write_text(json.dumps(said))
+    with pytest.raises(ValueError, match="normalizer"):
+        packing.WordTokens(str(tmp_path / "other.json"))
+
+
+def test_words_met_again_keep_their_ids(monkeypatch):
+    """Generations of words turn over many times."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "KEEP", 7)
+    tok, own = Tokenizer.from_file(WORD_BPE), packing.WordTokens(WORD_BPE)
+    rng = np.random.default_rng(8)
+    words = [f"w{i}\u00e9, x{i}" for i in range(40)]
+    for _ in range(30):
+        texts = [" ".join(rng.choice(words, 5)) for _ in range(3)]
+        off, ids = own.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_word_ids_of_control_characters():
     """Control characters are no white space; each is a byte with ids of its own."""
     from tokenizers import Tokenizer
