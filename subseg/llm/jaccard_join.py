@@ -17,7 +17,8 @@ A document's set is its distinct 5-word shingles (64-bit hashes). Steps:
 5. Long lists are never paired. In each of some rounds every set goes, with its items, to its longest list that still
    holds different components; blocks of such a list are compared inside a task, and a set found similar to one
    set takes over that set's component, so that its other partners need no look. What lists hold different
-   components after that is compared exhaustively, block against block, sizes permitting, a task each. Tasks
+   components after that is compared exhaustively, block against block, sizes permitting, a task each; lists that
+   share sets are compared as one where that moves fewer sets. Tasks
    return only links that join two components, so a list of n sets makes n rows, not pairs.
 
 Nothing is capped: every candidate pair is excluded by a bound, verified, or joins two sets
@@ -57,7 +58,7 @@ BLOCK = 64
 #: sets of a long list that a task holds on each side
 LIST_BLOCK = 512
 #: rounds in which a set is compared within one list only
-VOTES = 3
+VOTES = 2
 #: ids up to which candidate documents are found by a broadcast; beyond, by a shuffled join
 BROADCAST_IDS = 2_000_000
 ENTRIES_PER_SHARD = 1_000_000
@@ -367,22 +368,39 @@ def _compared(sides: DataFrame, keys: list[str], full: DataFrame) -> DataFrame:
     return stored(both.groupBy(*keys).applyInArrow(_task_links, "a long, b long"), "links")
 
 
-def _voted(entries: DataFrame, full: DataFrame) -> DataFrame:
-    """Links found when every set looks at its longest open list alone, in blocks."""
+def _voted(entries: DataFrame, full: DataFrame, turn: int) -> DataFrame:
+    """Links found when every set looks at its longest open list alone, in blocks that each turn deals anew."""
     best = entries.groupBy("a").agg(F.max(F.struct("size", "list", "n", "pos", "root")).alias("e")).select("a", "e.*")
     voters = best.groupBy("list").agg(F.ceil(F.count("*") / LIST_BLOCK).alias("blocks"))
-    dealt = best.join(voters, "list").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")))
+    dealt = best.join(voters, "list").withColumn("block", F.pmod(F.xxhash64("a", F.lit(turn)), F.col("blocks")))
     return _compared(dealt.select("a", "n", "pos", "root", F.lit(0).alias("side"), "list", "block"), ["list", "block"], full)
 
 
+def _merged(entries: DataFrame) -> DataFrame:
+    """Entries (list, a, n, pos, root) with lists that share sets made one where that moves fewer sets: the same few
+    sets often stand in thousands of lists. A merged list has no positions (0 excludes nothing)."""
+    heads = entries.groupBy("list").agg(F.min("a").alias("b"), (F.count("*") * F.ceil(F.count("*") / LIST_BLOCK)).alias("moved"))
+    edges = entries.select("list", "a").join(heads.select("list", "b"), "list").where("a <> b").select("a", "b").distinct()
+    cluster = connected_components(edges).select(F.col("node").alias("a"), F.col("root").alias("cluster"))
+    lists = heads.join(cluster.withColumnRenamed("a", "b"), "b").select("list", "cluster", "moved")
+    once = entries.groupBy("a").agg(F.first("n").alias("n"), F.first("root").alias("root")).join(cluster, "a")  # both are the set's own
+    cost = once.groupBy("cluster").agg((F.count("*") * F.ceil(F.count("*") / LIST_BLOCK)).alias("whole"))
+    cost = cost.join(lists.groupBy("cluster").agg(F.sum("moved").alias("moved")), "cluster").select("cluster", (F.col("whole") <= F.col("moved")).alias("one"))
+    merged = once.join(cost.where("one"), "cluster").select(F.col("cluster").alias("list"), "a", "n", F.lit(0).cast("long").alias("pos"), "root", F.lit(1).alias("kind"))
+    apart = lists.join(cost.where("not one"), "cluster").select("list")
+    return merged.union(entries.join(apart, "list").select("list", "a", "n", "pos", "root", F.lit(0).alias("kind")))
+
+
 def _exhausted(entries: DataFrame, full: DataFrame) -> DataFrame:
     """Links among all sets of each open list: blocks of similar sizes against each other, a task for each two blocks."""
+    entries = stored(_merged(entries), "merged")
     band = F.floor(F.log(F.col("n")) / float(np.log(DEN / NUM)) + 1e-9).cast("long")  # sets that link are at most one band apart
     banded = entries.withColumn("band", band)
-    blocks = banded.groupBy("list", "band").agg(F.ceil(F.count("*") / LIST_BLOCK).alias("blocks"))
-    near = lambda d, name: blocks.select("list", (F.col("band") + d).alias("band"), F.col("blocks").alias(name))
-    sizes = blocks.join(near(1, "below"), ["list", "band"], "left").join(near(-1, "above"), ["list", "band"], "left")
-    x = banded.join(sizes, ["list", "band"]).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")))
+    blocks = banded.groupBy("kind", "list", "band").agg(F.ceil(F.count("*") / LIST_BLOCK).alias("blocks"))
+    near = lambda d, name: blocks.select("kind", "list", (F.col("band") + d).alias("band"), F.col("blocks").alias(name))
+    place = ["kind", "list", "band"]
+    sizes = blocks.join(near(1, "below"), place, "left").join(near(-1, "above"), place, "left")
+    x = banded.join(sizes, place).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")))
 
     def against(count: str, b1, i1, b2, i2, side) -> Column:
         there = F.when(F.col(count) > 0, F.sequence(F.lit(0).cast("long"), F.col(count) - 1)).otherwise(F.array().cast("array<long>"))
@@ -392,8 +410,8 @@ def _exhausted(entries: DataFrame, full: DataFrame) -> DataFrame:
     same = against("blocks", b, lambda j: F.least(own, j), b, lambda j: F.greatest(own, j), lambda j: (own > j).cast("int"))
     up = against("above", b, lambda j: own, b + 1, lambda j: j, lambda j: F.lit(0))
     down = against("below", b - 1, lambda j: j, b, lambda j: own, lambda j: F.lit(1))
-    pairs = x.select("a", "n", "pos", "root", "list", F.explode(F.concat(same, up, down)).alias("t")).select("a", "n", "pos", "root", "list", "t.*")
-    return _compared(pairs, ["list", "b1", "i1", "b2", "i2"], full)
+    pairs = x.select("a", "n", "pos", "root", "kind", "list", F.explode(F.concat(same, up, down)).alias("t")).select("a", "n", "pos", "root", "kind", "list", "t.*")
+    return _compared(pairs, ["kind", "list", "b1", "i1", "b2", "i2"], full)
 
 
 def _long_lists(narrow: DataFrame, sets: DataFrame, long_lists: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
@@ -407,7 +425,7 @@ def _long_lists(narrow: DataFrame, sets: DataFrame, long_lists: DataFrame, links
             return roots
         if full is None:
             full = _full_sets(narrow, sets.join(_named(entries.select("a")), "set_id"))
-        more = _voted(entries, full) if turn < VOTES else _exhausted(entries, full)
+        more = _voted(entries, full, turn) if turn < VOTES else _exhausted(entries, full)
         found = bool(more.head(1))
         if found:
             links = links.union(more)
