@@ -12,9 +12,8 @@ A document's set is its distinct 5-word shingles (64-bit hashes). Steps:
    or its best remaining overlap (size minus position) can't reach the threshold.
 3. A set's counts by hash bucket (as many buckets as shingles, a byte each) bound
    the difference of two sets from below: pairs whose counts differ too much are dropped, surely unlinked.
-4. Short lists yield their candidate pairs; of all candidates of a set one is verified first, and sets that come
-   out in one component need no pair between them.
-5. Long lists are never paired. In each of some rounds every set goes, with its items, to its longest list that still
+4. Short lists yield their candidate pairs, which are verified on full sets.
+5. Long lists are never paired. First every set goes, with its items, to its longest list that still
    holds different components; blocks of such a list are compared inside a task, and a set found similar to one
    set takes over that set's component, so that its other partners need no look. What lists hold different
    components after that is compared exhaustively, block against block, sizes permitting, a task each; lists that
@@ -57,8 +56,8 @@ SHORT_LIST = 16
 BLOCK = 64
 #: sets of a long list that a task holds on each side
 LIST_BLOCK = 512
-#: rounds in which a set is compared within one list only
-VOTES = 2
+#: rounds in which a set is compared within one list only, before what is left is compared exhaustively
+VOTES = 1
 #: ids up to which candidate documents are found by a broadcast; beyond, by a shuffled join
 BROADCAST_IDS = 2_000_000
 ENTRIES_PER_SHARD = 1_000_000
@@ -527,14 +526,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(both.where((NUM + DEN) * F.size(F.array_intersect("x", "y")) >= NUM * (F.size("x") + F.size("y"))).select("a", "b"), "links")
 
 
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components so far."""
-    r1 = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    r2 = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    both = pairs.join(r1, "a", "left").join(r2, "b", "left")
-    return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
 def _components_of(per_doc: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     """Each document's component, named by the smallest id among all documents of its sets."""
     found = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
@@ -570,13 +561,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tallies = _tallies(narrow, sets.join(_named(pairs), "set_id"))
     pairs = stored(_near_pairs(pairs, tallies), "pairs")
     full = _full_sets(narrow, sets.join(_named(pairs), "set_id"))
-    # a set's first partner decides whether the others need a look
-    links = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")), full)
+    links = _verified(pairs, full)
     roots = connected_components(links)
-    more = _verified(_across(pairs, roots), full)
-    if more.head(1):
-        links = links.union(more)
-        roots = connected_components(links)
     roots = _long_lists(narrow, sets, long_lists, links, roots)
 
     return _components_of(per_doc, sets, roots)

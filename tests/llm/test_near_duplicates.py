@@ -160,7 +160,8 @@ def test_long_list_of_unlinked_sets_with_some_near_copies(spark, make, monkeypat
     assert got.component_id.tolist() == want and len(set(want)) == 900
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("one_task", [0, 20_000])
+def test_connected_components(spark, one_task):
     rng = np.random.default_rng(6)
     edges = [(i, i + 1) for i in range(100, 160)] + [(200, k) for k in range(201, 260)] + [tuple(map(int, rng.integers(300, 500, 2))) for _ in range(90)]
     root = {x: x for e in edges for x in e}
@@ -173,7 +174,7 @@ def test_connected_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4), one_task=one_task).collect()}
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
 
 
