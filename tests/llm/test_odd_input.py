@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from llm_helpers import SF_SMALL, frame, odd_texts
-from subseg.llm import bm25_decontam, decision_list, fourier_quality, jaccard_join, license_scan, lm_scoring, packing, secret_scan, unigram_counts
+from subseg.llm import bm25_decontam, decision_list, fourier_quality, jaccard_join, license_scan, lm_scoring, packing, secret_scan, substring_dedup, unigram_counts
 from subseg.llm.queries import tokenizer_path
 
 
@@ -25,9 +25,10 @@ OPERATORS = {
     "rules": lambda s, d: decision_list.judge(d, labels(s))[0],
     "secrets": lambda s, d: secret_scan.scan_secrets(d),
     "jaccard": lambda s, d: jaccard_join.jaccard_components(d),
+    "repeats": lambda s, d: substring_dedup.drop_repeats(d),
     "leaks": lambda s, d: bm25_decontam.find_leaks(d, items(s)),
 }
-ONE_ROW_EACH = {"license", "lm", "counts", "quality", "rules", "secrets", "jaccard"}
+ONE_ROW_EACH = {"license", "lm", "counts", "quality", "rules", "secrets", "jaccard", "repeats"}
 
 
 @pytest.mark.parametrize("name", OPERATORS)
