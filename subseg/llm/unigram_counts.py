@@ -93,11 +93,15 @@ class CountOnlyViterbi:
 
 
 def load_vocab(model_path: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a sentencepiece file, in the order of ids."""
+    """Normal and user-defined pieces of a sentencepiece file with their scores, in the order of ids.
+
+    Control, unknown, unused and byte pieces are never matched in a text: ``</s>`` in it is four characters.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    return [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size())]
+    never = (sp.is_control, sp.is_unknown, sp.is_unused, sp.is_byte)
+    return [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size()) if not any(f(i) for f in never)]
 
 
 @lru_cache(2)
