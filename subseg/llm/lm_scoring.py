@@ -13,10 +13,12 @@ trigrams (packed columns, one row a block and shard) and gets sums back:
 5. *scores*: a block adds its shards' sums.
 
 A shard holds all trigrams with the same middle word b, so context totals and
-successor lists are complete there. A frequent b is split by classes of c (a hash of its
-id; powers of two, so that no class outweighs a shard): the model is then
-P(c | a b) = Q(class) * P(c | a b, class), Q the class's unigram share. That is a proper
-distribution, needs no total from other shards, and keeps hot words from making a hot task.
+successor lists are complete there. A b that stands more than ``class_tokens`` times in training is split by
+classes of c (the first bits of a hash of the word; powers of two, so that a class holds about ``class_tokens`` tokens
+at most): the model is then P(c | a b) = Q(class | b) * P(c | a b, class) with
+Q(class | b) = (n(b, class) + Q(class)) / (n(b) + 1), Q(class) the class's unigram share. That is a proper
+distribution, needs no total from other shards (n(b) is the word's count), and keeps hot words from making a
+hot task. Classes follow from the training tokens alone: neither partitions, blocks nor the number of shards change a score.
 
 Tokens are words of the text with A-Z in lower case, then one end. Probability: interpolated
 absolute discounting with continuation counts for pairs, down to the add-one unigram; stored 16-bit codes.
@@ -46,6 +48,8 @@ from subseg.llm.store import stored
 BLOCK_TOKENS = 800_000
 #: tokens for each shard, on average
 SHARD_TOKENS = 1_500_000
+#: training tokens of a middle word beyond which it is split by classes of the next word
+CLASS_TOKENS = 1_000_000
 CLASS_BITS = 16
 START = np.uint32(0xFFFFFFFF)
 END = W.mix(np.array([0x656E64], np.uint64))[0]
@@ -152,27 +156,33 @@ def word_answers(requests: DataFrame, shards: int) -> DataFrame:
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order)) * shards + shard
         known = total > 0
-        mass = np.bincount(class_of(number)[known], weights=total[known] + 1.0, minlength=1 << CLASS_BITS)
+        fine = class_of(hashes)
+        mass = np.bincount(fine[known], weights=total[known] + 1.0, minlength=1 << CLASS_BITS)
         rows: list[tuple] = [(None, shard, None, int(total.sum()), int(known.sum()), pack(mass))]
         at = 0
         for block, h in zip(blocks, asked, strict=True):
             mine = which[at : at + len(h)]
             at += len(h)
-            rows.append((block, shard, pack(number[mine].astype(np.uint32), total[mine]), None, None, None))
+            rows.append((block, shard, pack(number[mine].astype(np.uint32), total[mine], fine[mine]), None, None, None))
         yield _rows(["block", "shard", "answer", "total", "known", "classes"], [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()], rows)
 
     return requests.groupBy("shard").applyInArrow(run, ANSWERS)
 
 
-def class_of(ids: np.ndarray) -> np.ndarray:
-    """The class of a word among 2**CLASS_BITS; its first bits are its class among fewer."""
-    return (W.mix(ids.astype(np.uint64) + U(0x2545F4914F6CDD1D)) >> U(64 - CLASS_BITS)).astype(np.int64)
+def class_of(hashes: np.ndarray) -> np.ndarray:
+    """The class of a word's hash among 2**CLASS_BITS; its first bits are its class among fewer."""
+    return (W.mix(hashes + U(0x2545F4914F6CDD1D)) >> U(64 - CLASS_BITS)).astype(np.uint16)
+
+
+def class_bits(count: np.ndarray, class_tokens: int) -> np.ndarray:
+    """Bits of the classes that a middle word of this training count is split by."""
+    return np.clip(np.ceil(np.log2(np.maximum(count / class_tokens, 1.0))), 0, CLASS_BITS).astype(np.int64)
 
 
 REQUESTS = "block long, shard int, request binary, info binary"
 
 
-def trigram_requests(blocks: DataFrame, answers: DataFrame, shards: int, total: int, known: int, mass: np.ndarray) -> DataFrame:
+def trigram_requests(blocks: DataFrame, answers: DataFrame, shards: int, total: int, known: int, mass: np.ndarray, class_tokens: int = CLASS_TOKENS) -> DataFrame:
     """A row for each block and trigram shard; one more a block with what it knows of its documents (``info``)."""
     norm = float(total + known + 1)
     share = np.concatenate([[0.0], np.cumsum(mass + 1.0 / len(mass))]) / norm  # the unknown word's part is spread evenly
@@ -182,10 +192,10 @@ def trigram_requests(blocks: DataFrame, answers: DataFrame, shards: int, total:
         reply = {s: unpack(a) for s, a in zip(_column(right, "shard"), _column(right, "answer"), strict=True)}
         for block, raw in zip(_column(left, "block"), _column(left, "tokens"), strict=True):
             ids, null, held, length, local, shard_of = unpack(raw)
-            number, count = np.zeros(len(shard_of), np.uint32), np.zeros(len(shard_of), np.int64)
-            for s, (own, n) in reply.items():
+            number, count, fine = (np.zeros(len(shard_of), kind) for kind in (np.uint32, np.int64, np.int64))
+            for s, (own, n, own_class) in reply.items():
                 at = shard_of == s
-                number[at], count[at] = own, n
+                number[at], count[at], fine[at] = own, n, own_class
             if len(reply) != len(np.unique(shard_of)):
                 raise RuntimeError("a word shard did not answer")
             log_p1 = np.log10((count + 1) / norm)
@@ -200,23 +210,22 @@ def trigram_requests(blocks: DataFrame, answers: DataFrame, shards: int, total:
             b[begin], a[begin] = START, START
             a[np.minimum(begin + 1, len(a) - 1)[length > 1]] = START
             # classes of c where b is frequent
-            ends = count[local[begin + length - 1][0]]  # as many starts as ends were trained
-            bits_of = lambda n: np.ceil(np.log2(np.maximum(n * (shards / max(total, 1)), 1.0))).astype(np.int64)
-            bits = np.empty(len(c), np.int64)
-            bits[1:] = np.minimum(bits_of(count), CLASS_BITS)[local[:-1]]
-            bits[begin] = min(int(bits_of(np.array([ends]))[0]), CLASS_BITS)
-            fine = class_of(number)[local]
+            n_b = np.empty(len(c), np.int64)
+            n_b[1:] = count[local[:-1]]
+            n_b[begin] = count[local[length[0] - 1]]  # as many starts as ends were trained
+            bits = class_bits(n_b, class_tokens)
+            n_b[bits == 0] = 0
+            fine = fine[local]
             coarse = fine >> (CLASS_BITS - bits)
             lo = coarse << (CLASS_BITS - bits)
             log_q = np.where(bits > 0, np.log10(np.maximum(share[lo + (1 << (CLASS_BITS - bits))] - share[lo], 1e-300)), 0.0)
             own_p1, own_q = quantise(log_p1)[local], quantise(log_q)
-            extra = np.add.reduceat(dequantise(own_q), begin)
             # each class of a frequent word is a middle word of its own
             b = b.astype(np.uint64) | (coarse.astype(np.uint64) << U(32))
             shard = ((W.mix(b) >> U(16)) % U(shards)).astype(np.int32)
             del fine, coarse, lo, bits, log_q
             order = np.lexsort((c, a, b, shard))
-            a, b, c, doc, own_p1, own_q, shard = (x[order] for x in (a, b, c, doc, own_p1, own_q, shard))
+            a, b, c, doc, own_p1, own_q, n_b, shard = (x[order] for x in (a, b, c, doc, own_p1, own_q, n_b, shard))
             cut = np.searchsorted(shard, np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(cut)):
                 i = slice(cut[s], cut[s + 1])
@@ -227,24 +236,40 @@ def trigram_requests(blocks: DataFrame, answers: DataFrame, shards: int, total:
                 runs = lambda outer, inner: np.diff(np.append(np.flatnonzero(outer[inner]), int(inner.sum()))).astype(np.uint32)
                 every = np.ones(len(new), bool)
                 rows.append((block, int(s), pack(
-                    b[i][new_b], runs(new_b, new_a), a[i][new_a], runs(new_a, new), np.diff(words, prepend=words[:1]).astype(np.uint32), words[:1], own_p1[i][new][first], own_q[i][new_b],
+                    b[i][new_b], runs(new_b, new_a), a[i][new_a], runs(new_a, new), np.diff(words, prepend=words[:1]).astype(np.uint32), words[:1], own_p1[i][new][first], own_q[i][new_b], n_b[i][new_b],
                     which.astype(np.uint32), runs(new, every), doc[i], held,
                 ), None))
-            rows.append((block, int(block % shards), None, pack(ids, null, held, length, n_known, base, extra)))
+            rows.append((block, int(block % shards), None, pack(ids, null, held, length, n_known, base)))
         return pa.Table.from_batches([_rows(["block", "shard", "request", "info"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()], rows)])
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, REQUESTS)
 
 
-def _trie(parts: list[tuple], discount: float) -> NgramTrie | None:
-    """The trie of all blocks' trained trigrams (b, a, c, code of c alone, count)."""
+def _trie(parts: list[tuple], discount: float) -> tuple[NgramTrie | None, np.ndarray]:
+    """The trie of all blocks' trained trigrams (b, a, c, code of c alone, count), and how many tokens stand after each of its words."""
     b, a, c, p1, count = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    if not len(b):
+        return None, np.zeros(0)
     order = np.lexsort((c, a, b))
     b, a, c, p1, count = b[order], a[order], c[order], p1[order], count[order]
-    first = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1]))) if len(b) else np.zeros(0, np.int64)
-    total = np.add.reduceat(count.astype(np.float64), first) if len(b) else np.zeros(0)
-    trie = NgramTrie.build(a[first], b[first], c[first], total, dequantise(p1[first]), discount)
-    return trie.mapped() if trie else None
+    first = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
+    total = np.add.reduceat(count.astype(np.float64), first)
+    own_b = b[first]
+    after = np.add.reduceat(total, np.flatnonzero(np.append(True, own_b[1:] != own_b[:-1])))
+    return NgramTrie.build(a[first], own_b, c[first], total, dequantise(p1[first]), discount).mapped(), after
+
+
+def log_class(trie: NgramTrie | None, after: np.ndarray, b: np.ndarray, q: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """log10 Q(class | b) of each class b of a split word (``n_b`` > 0), 0 of other words; ``q``: code of Q(class)."""
+    out = np.zeros(len(b))
+    split = np.flatnonzero(n_b)
+    if len(split):
+        seen = np.zeros(len(split))
+        if trie:
+            at, known = trie.words.find(b[split])
+            seen[known] = after[at[known]]
+        out[split] = dequantise(quantise(np.log10((seen + 10.0 ** dequantise(q[split])) / (n_b[split] + 1.0))))
+    return out
 
 
 SUMS = "block long, sums binary, info binary"
@@ -256,13 +281,13 @@ def shard_sums(requests: DataFrame, discount: float) -> DataFrame:
     names, kinds = ["block", "sums", "info"], [pa.int64(), pa.binary(), pa.binary()]
 
     def rows_of(request: bytes) -> tuple:
-        """(b, a, c, code of c alone within its class) of each trigram; how often and in which documents it stands; held-out marks."""
-        b, n_a, a, n_c, step, first, p1, q, which, n_docs, doc, held = unpack(request)
+        """(b, a, c, code of c alone within its class) of each trigram; how often and in which documents it stands; held-out marks; middle words, their class codes and counts, and which one each trigram has."""
+        b, n_a, a, n_c, step, first, p1, q, n_b, which, n_docs, doc, held = unpack(request)
         a_of = np.repeat(np.arange(len(a)), n_c)
         b_of = np.repeat(np.arange(len(b)), n_a)[a_of]
         words = (np.cumsum(step.astype(np.int64)) + first[0]).astype(np.uint32)
         code = np.maximum(p1[which].astype(np.int32) - q[b_of], 0).astype(np.uint16)
-        return (b[b_of], a[a_of], words[which], code), n_docs, doc, held
+        return (b[b_of], a[a_of], words[which], code), n_docs, doc, held, (b, q, n_b), b_of
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # requests stay packed between the two passes over them
@@ -274,21 +299,23 @@ def shard_sums(requests: DataFrame, discount: float) -> DataFrame:
                     yield _rows(names, kinds, [(block, None, info)])
                     continue
                 asked.append((block, request))
-                rows, n_docs, doc, held = rows_of(request)
+                rows, n_docs, doc, held, *_ = rows_of(request)
                 count = np.add.reduceat((~held[doc]).astype(np.uint32), np.cumsum(n_docs, dtype=np.int64) - n_docs)
                 seen = count > 0
                 trained.append((*(x[seen] for x in rows), count[seen]))
         if not asked:
             return
-        trie = _trie(trained, discount)
+        trie, after = _trie(trained, discount)
         del trained
         for block, request in asked:
-            (b, a, c, p1), n_docs, doc, held = rows_of(request)
+            (b, a, c, p1), n_docs, doc, held, middle, b_of = rows_of(request)
             value = dequantise(p1)
             if trie:
                 for lo in range(0, len(value), QUERY_STEP):
                     i = slice(lo, lo + QUERY_STEP)
                     value[i] = trie.log_prob(a[i], b[i], c[i], value[i])
+            if middle[2].any():
+                value += log_class(trie, after, *middle)[b_of]
             yield _rows(names, kinds, [(block, pack(np.bincount(doc, weights=np.repeat(value, n_docs), minlength=len(held))), None)])
 
     return requests.groupBy("shard").applyInArrow(run, SUMS)
@@ -306,16 +333,16 @@ def block_scores(sums: DataFrame, total: int) -> DataFrame:
                     info = unpack(i)
                 else:
                     score = score + unpack(s)[0]
-        ids, null, held, length, n_known, base, extra = info
+        ids, null, held, length, n_known, base = info
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, mask=null), pa.array(held), pa.array(length.astype(np.int64)), pa.array(n_known), pa.array(np.full(len(ids), total)), pa.array(base), pa.array(score + extra)],
+            [pa.array(ids, mask=null), pa.array(held), pa.array(length.astype(np.int64)), pa.array(n_known), pa.array(np.full(len(ids), total)), pa.array(base), pa.array(score)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
     return sums.groupBy("block").applyInArrow(run, SCORES)
 
 
-def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", discount: float = 0.75, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", discount: float = 0.75, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, class_tokens: int = CLASS_TOKENS) -> DataFrame:
     """Scores of every document under the model of those that are not ``held_out``; see the module's text."""
     spark = docs.sparkSession
     text = F.col(f"`{text_col}`")
@@ -331,5 +358,5 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     for r in answers.where("block is null").select("total", "known", "classes").toLocalIterator():  # a row a shard
         total, known = total + r["total"], known + r["known"]
         mass += unpack(r["classes"])[0]
-    requests = trigram_requests(blocks.where("tokens is not null").select("block", "tokens"), answers.where("block is not null").select("block", "shard", "answer"), shards, total, known, mass)
+    requests = trigram_requests(blocks.where("tokens is not null").select("block", "tokens"), answers.where("block is not null").select("block", "shard", "answer"), shards, total, known, mass, class_tokens)
     return block_scores(shard_sums(requests, discount), total)

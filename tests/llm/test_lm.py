@@ -4,6 +4,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,20 +113,82 @@ def test_scores(spark, make):
     assert np.abs((got.score - score) / got.n_tokens).max() < 2e-3
 
 
+def word_class(w):
+    h = L.END if w == "\0end" else L.W.words_of(pa.array([w]), lower=True).hash[0]
+    return int(L.class_of(np.array([h], np.uint64))[0])
+
+
+def brute_split_scores(texts, held, class_tokens):
+    """The model whose frequent middle words are split by classes of the next word, in dictionaries."""
+    tok = [tokens(t) for t in texts]
+    cnt = collections.Counter(w for t, h in zip(tok, held) if not h for w in t)
+    norm = sum(cnt.values()) + len(cnt) + 1
+    cnt["\0s"] = cnt["\0end"]
+    cls = {w: word_class(w) for t in tok for w in t}
+    bits = {w: min(max(0, math.ceil(math.log2(max(cnt[w] / class_tokens, 1)))), L.CLASS_BITS) for w in ["\0s", *cls]}
+    of = lambda y, z: cls[z] >> (L.CLASS_BITS - bits[y])
+    share = lambda y, z: 1.0 if not bits[y] else (sum(n + 1 for w, n in cnt.items() if n and w != "\0s" and of(y, w) == of(y, z)) + 2.0 ** -bits[y]) / norm
+    shares = {}
+    grams = [list(zip(s[:-2], s[1:-1], s[2:])) for s in (["\0s", "\0s", *t] for t in tok)]
+    tri, after = collections.Counter(), collections.Counter()
+    for x, h in zip(grams, held):
+        for a, b, c in [] if h else x:
+            tri[a, (b, of(b, c)), c] += 1
+            after[b, of(b, c)] += 1
+    model = Brute(tri, None)
+    out = []
+    for x in grams:
+        total = 0.0
+        for a, b, c in x:
+            k = (b, of(b, c))
+            q1 = shares[k] = shares.get(k) or share(b, c)
+            model.p1 = lambda z, q1=q1: (cnt[z] + 1) / norm / q1
+            q = (after[k] + q1) / (cnt[b] + 1) if bits[b] else 1.0
+            total += math.log10(q * model.p(a, k, c))
+        out.append(total)
+    assert any(bits.values())
+    return out
+
+
 def test_split_words(spark, make):
-    """With many shards frequent words are split by classes: scores stay near the one model's, whatever the blocks."""
+    """Frequent words are split by classes: scores are those of the stated model, whatever the blocks."""
     texts = corpus(200)
-    *_, score = brute_scores(texts, [i % 4 == 1 for i in range(len(texts))])
-    one, two = run(spark, make, texts, 1, 40, block_tokens=700), run(spark, make, texts, 7, 40, block_tokens=90)
-    np.testing.assert_allclose(one.score, two.score, atol=1e-6)
-    assert abs((one.score - score).sum() / one.n_tokens.sum()) < 0.1
+    held = [i % 4 == 1 for i in range(len(texts))]
+    want = brute_split_scores(texts, held, 40)
+    one, two = (run(spark, make, texts, n, 40, block_tokens=size, class_tokens=40) for n, size in ((1, 700), (7, 90)))
+    np.testing.assert_array_equal(one.score, two.score)
+    assert np.abs((one.score - want) / one.n_tokens).max() < 3e-3
+
+
+def test_classes_are_a_distribution():
+    rng = np.random.default_rng(2)
+    share = rng.dirichlet(np.ones(8))
+    n = rng.integers(0, 9000, 8).astype(float)
+    q = L.log_class(None, np.zeros(0), np.arange(8, dtype=np.uint64), L.quantise(np.log10(share)), np.full(8, 1))
+    assert abs((10**q).sum() - 0.5) < 0.01  # nothing seen: the unigram share of what smoothing holds
+    key = np.arange(8, dtype=np.uint64)
+    trie = L.NgramTrie.build(np.zeros(8, np.uint32), key, np.ones(8, np.uint32), n + 1, np.full(8, -1.0))
+    q = L.log_class(trie, n + 1, key, L.quantise(np.log10(share)), np.full(8, int(n.sum()) + 8))
+    assert abs((10**q).sum() - 1) < 0.01
+
+
+def test_scores_do_not_follow_the_partitions(spark, make):
+    texts = corpus(150, seed=8)
+    got = [run(spark, make, texts, parts, shards, class_tokens=100) for parts, shards in ((1, 1), (3, 8), (8, 200))]
+    for other in got[1:]:
+        np.testing.assert_array_equal(got[0].score, other.score)
 
 
 def test_repeated_text_scores_higher(spark, make):
     texts = corpus(60, seed=9)
     texts[1] = texts[2]  # held out, but a copy of a training document
-    got = run(spark, make, texts, 2, 16)
+    got = run(spark, make, texts, 2, 16, class_tokens=30)
     assert got.score[1] > got.base_score[1]
+    # by how much trigrams help beyond the words alone: far more in the copy than in any unseen text
+    gain = (got.score - got.base_score) / got.n_tokens
+    unseen = got.held_out & (got.index != 1) & (got.n_tokens > 5)
+    print(gain[1], gain[unseen].max())
+    assert gain[1] > gain[unseen].max() + 0.2
 
 
 def test_no_training_document(spark, make):
