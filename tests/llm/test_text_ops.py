@@ -222,6 +222,46 @@ def test_licenses_are_retrieved(spark, make):
     assert found == {(i, x.template) for i, v in every.items() for x in v}
 
 
+@pytest.mark.parametrize("window,size,shared", [(16, 5, 5), (16, 5, 4), (16, 6, 5), (16, 8, 6), (16, 32, 16), (128, 33, 33), (128, 33, 25), (128, 64, 48), (128, 128, 96)])
+def test_bands_meet(window, size, shared):
+    """Recall of the bands over random templates, whole or at the containment threshold, in windows of other shingles."""
+    rng = np.random.default_rng(window * size + shared)
+    masks = np.array(license_scan.MASKS, np.int64)
+    hashes = lambda n: rng.integers(-(2**63), 2**63, n)
+    hit = 0
+    for _ in range(2000):
+        template, foreign = hashes(size), hashes(window - shared)
+        least = (template ^ masks[:, None]).min(axis=1)
+        hit += bool((least == (np.concatenate([template[:shared], foreign]) ^ masks[:, None]).min(axis=1)).any())
+    assert hit >= 0.99 * 2000, hit / 2000
+
+
+def filler(n, rng=np.random.default_rng(6)):
+    return " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+
+
+def test_bands_retrieve_templates(make):
+    """300 random templates of 9 to 150 words, a quarter of their shingles lost at most: all are found."""
+    rng = np.random.default_rng(11)
+    custom = [(f"t{k}", " ".join(f"w{x}" for x in rng.integers(0, 5000, 9 + k % 142))) for k in range(300)]
+    texts = []
+    for _, t in custom:
+        words = t.split()
+        if len(words) > 40:  # five shingles of over 36
+            words[18] = "changed"
+        texts.append(" ".join([filler(int(rng.integers(0, 40))), *words, filler(60)]))
+    got = {r.doc_id: {x.license for x in r.licenses} for r in license_scan.scan_licenses(make(texts), custom).collect()}
+    assert sum(custom[i][0] in got[i] for i in range(300)) >= 298
+
+
+def test_repeated_notice(make):
+    """A text that repeats notices a thousand times: one hit a template, its first best window."""
+    notice = "Licensed under the Apache License, Version 2.0."
+    (row,) = license_scan.scan_licenses(make([f"{notice} {filler(3)} " * 1000])).collect()
+    assert len({x.template for x in row.licenses}) == len(row.licenses) and "Apache-2.0" in {x.license for x in row.licenses}
+    assert all(x.first_shingle < 40 for x in row.licenses if x.containment == 1.0)
+
+
 def test_short_notices_and_template_tails(make):
     """Templates below five words, and text that quotes a long template's last part alone."""
     notices = {"All rights reserved.": "All-Rights-Reserved", "SPDX-License-Identifier: MIT": "MIT"}
