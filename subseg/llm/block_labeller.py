@@ -5,7 +5,7 @@ hashed, the innermost ones once more), its words (hashed, by share), its length,
 link share and place. One LSTM reads the page's leaves forwards, one backwards, so each
 decision sees the whole page; a logistic layer on both states gives the label.
 
-Training pages are a bounded sample (about ``train_pages``, by the crc32 of page_id). Their
+Training pages are a bounded sample (about ``train_pages``, by the crc32 of page_id, of up to ``train_bytes`` bytes), read whole. Their
 labels come from the elements that state their purpose (article, main; nav, aside,
 footer, form ...). Copies of the sample with renamed containers and foreign blocks
 put in under the usual class words teach pages that are built another way. Text is never a
@@ -13,7 +13,8 @@ clue for the inserted blocks: it is borrowed from other blocks.
 
 Defined results: null or empty html, and pages without article blocks, have an empty text;
 no training page at all leaves the stated-purpose labels in place; repeated pages are
-read each; pages of any length are read whole.
+read each; pages of any length are read whole; a block of probability 0.5 is left out. Other input columns are not
+read, so names can't clash but for the columns a caller keeps.
 """
 
 from __future__ import annotations
@@ -218,12 +219,12 @@ def altered(paths: list, texts: np.ndarray, labels: np.ndarray, pool: np.ndarray
     return [r[0] for r in rows], np.stack([r[1] for r in rows]), np.array([r[2] for r in rows])
 
 
-def train(pages: list[str], epochs: int = 8, copies: int = 2, batch: int = 32, longest: int = 120, seed: int = 5) -> BiLstm | None:
-    """A labeller fitted to the stated labels of ``pages`` and to altered copies."""
+def train(pages: list[str], epochs: int = 8, copies: int = 2, batch: int = 32, cells: int = 8192, seed: int = 5) -> BiLstm | None:
+    """A labeller fitted to the stated labels of whole ``pages`` and to altered copies; a batch has up to ``batch`` pages of like length, ``cells`` leaves with padding or one page."""
     rng = np.random.default_rng(seed)
     plain = []
     for page in pages:
-        leaves = leaf_blocks(page)[:longest]
+        leaves = leaf_blocks(page)
         if leaves:
             plain.append(([x.path for x in leaves], text_vectors(leaves), np.array([float(stated_label(x.path)) for x in leaves])))
     if not any(y.any() for _, _, y in plain):
@@ -236,10 +237,14 @@ def train(pages: list[str], epochs: int = 8, copies: int = 2, batch: int = 32, l
         for _ in range(copies):
             rows += [(vectors(p, t), y) for p, t, y in (altered(*r, pool, rng) for r in plain)]
         rows.sort(key=lambda r: len(r[1]))
-        starts = list(range(0, len(rows), batch))
+        cuts = [0]
+        for i, (_, y) in enumerate(rows):
+            if i - cuts[-1] == batch or (i > cuts[-1] and len(y) * (i + 1 - cuts[-1]) > cells):
+                cuts.append(i)
+        cuts.append(len(rows))
         rate = 0.01 * (1 - epoch / epochs) + 0.001
-        for i in rng.permutation(len(starts)):
-            part = rows[starts[i] : starts[i] + batch]
+        for i in rng.permutation(len(cuts) - 1):
+            part = rows[cuts[i] : cuts[i + 1]]
             x, mask = padded([r[0] for r in part])
             y = np.zeros(mask.shape)
             for b, r in enumerate(part):
@@ -276,13 +281,13 @@ def label_pages(model: BiLstm | None, pages: list[list[Leaf]], cells: int = 8192
     return out
 
 
-def train_on(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", train_pages: int = 400, **kw) -> BiLstm | None:
-    """The labeller of a table: its bounded sample is the pages with the smallest hashes of their ids."""
+def train_on(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", train_pages: int = 400, train_bytes: int = 1 << 20, **kw) -> BiLstm | None:
+    """The labeller of a table. Its bounded sample: whole pages of up to ``train_bytes`` bytes with the smallest hashes of their ids, ``train_pages`` on average."""
     page_id, page = F.col(f"`{id_col}`"), F.col(f"`{html_col}`")
     n = pages.select(page_id).count()
     # ids whose crc32 lies below a bound that the count of pages sets: as many on average, whatever the size
     below = min(1 << 32, (1 << 32) * train_pages // max(n, 1))
-    some = pages.where(page_id.isNotNull() & (F.crc32(page_id.cast("string")) < below)).select(page_id.alias("id"), page.alias("html")).where("html <> ''")
+    some = pages.where(page_id.isNotNull() & (F.crc32(page_id.cast("string")) < below)).select(page_id.alias("id"), page.alias("html")).where(f"html <> '' and octet_length(html) <= {train_bytes}")
     sample = some.groupBy("id").agg(F.min("html").alias("html")).orderBy("id").collect()
     return train([r["html"] for r in sample if r["html"]], **kw) if sample else None
 

@@ -13,7 +13,8 @@ BLOCK_TAGS = frozenset(
     "select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style template iframe noembed noframes svg math object".split())
+#: elements without text of their own; the text in ``svg``, ``math``, ``object``, ``iframe`` and the like is read as any other
+RAW_TAGS = frozenset("script style template".split())
 #: a start tag that ends an open element of these names in the same container
 IMPLIED_END = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
