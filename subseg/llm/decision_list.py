@@ -12,7 +12,8 @@ scoring all documents is one projection over the statistics.
 
 Defined results: no labelled rows, or only one class, give an empty list (all
 kept); null labels are left out; documents without words are kept by the list (their
-statistics are 0) and fail the fixed base rule instead; repeated ids score row by row.
+statistics are 0) and fail the fixed base rule instead; repeated ids score row by row; of conditions
+of equal gain the first feature's lowest cut wins; very long texts are counted whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -80,22 +81,26 @@ def _best(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], cuts: list[np.nd
 
 
 def learn(
-    x: np.ndarray, reject: np.ndarray, names: tuple[str, ...], max_rules: int = 16, max_conditions: int = 4,
+    x: np.ndarray, reject: np.ndarray, names: tuple[str, ...],
     n_cuts: int = 64, min_precision: float = 0.9, min_cover: int = 3,
 ) -> list[Rule]:
-    """Ordered rules; a row that a rule covers is rejected. Rows must be in a fixed order."""
+    """Ordered rules; a row that a rule covers is rejected. Rows must be in a fixed order.
+
+    Precision and cover alone end the covering: a rule grows while a condition gains and rows to keep are
+    left in it, and rules follow while the next one rejects ``min_cover`` rows at ``min_precision``.
+    """
     rules: list[Rule] = []
     prune = np.arange(len(x)) % 3 == 2
     left = np.ones(len(x), bool)
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, n_cuts))) if len(x) else x[:, k] for k in range(len(names))]
-    while len(rules) < max_rules:
+    while True:
         g, v = left & ~prune, left & prune
         xg, yg, xv, yv = x[g], reject[g], x[v], reject[v]
         if yg.sum() < min_cover or yg.all():
             break
         rule: Rule = ()
         m = np.ones(len(xg), bool)
-        while len(rule) < max_conditions and (~yg[m]).any() and yg[m].any():
+        while (~yg[m]).any() and yg[m].any():
             _, c = _best(xg[m], yg[m], names, cuts)
             if c is None:
                 break

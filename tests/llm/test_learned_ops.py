@@ -1,4 +1,5 @@
 """Quality classifier, decision lists, HTML extraction: held-out accuracy and parts against plain computations."""
+import collections
 import html
 import re
 
@@ -66,6 +67,20 @@ def test_rules_find_a_planted_list(spark):
     assert got == covered.tolist()
 
 
+def test_precision_and_cover_alone_end_the_list():
+    """More rules and longer rules than any small fixed number."""
+    rng = np.random.default_rng(4)
+    x = rng.uniform(size=(40_000, 1))
+    reject = (x[:, 0] * 48).astype(int) % 2 == 0
+    rules = D.learn(x, reject, ("a",), n_cuts=2000)
+    covered = np.any([D._covers(r, x, ("a",)) for r in rules], axis=0)
+    assert len(rules) > 16 and (covered == reject).mean() > 0.95
+    x = rng.uniform(size=(40_000, 6))
+    reject = (x >= 0.35).all(axis=1)
+    rules = D.learn(x, reject, tuple("abcdef"))
+    assert max(map(len, rules)) > 4
+
+
 def test_no_class_no_rule():
     x = np.random.default_rng(0).uniform(size=(50, 2))
     assert D.learn(x, np.zeros(50, bool), ("a", "b")) == [] and D.learn(x[:0], np.zeros(0, bool), ("a", "b")) == []
@@ -127,6 +142,41 @@ def test_blocks_of_broken_html():
     assert blocks("<table><tr><td>1<td>2<tr><td>3</table>") == ["1", "2", "3"]
 
 
+def test_foreign_content_is_text():
+    """svg, math, object and iframe lose no text, closed or not; scripts, styles and inert templates have none."""
+    blocks = lambda p: [x.text for x in leaf_blocks(p)]
+    assert blocks("<p>a</p><svg><text>label</text><p>rest</p>") == ["a", "label", "rest"]
+    assert blocks("<p>a</p><object data=x><p>after</p><p>b</p>") == ["a", "after", "b"]
+    assert blocks("<p>area <math><mi>x</mi><mo>=</mo><mn>2</mn></math> of it") == ["area x=2 of it"]
+    assert blocks("<iframe src=y>no frames here</iframe><p>b") == ["no frames here", "b"]
+    assert blocks("<template><p>x</p></template><script>1</script><style>p</style><p>b") == ["b"]
+
+
+def test_long_pages_train_whole():
+    """Leaves far down a training page count, and batches of long pages stay bounded."""
+    page = "<html><body><article>" + "<p>text of it</p>" * 300 + "</article><footer>" + "<p>legal end</p>" * 40 + "</footer></body></html>"
+    model = L.train([page] * 6, copies=0, cells=700)
+    (got,) = L.label_pages(model, [leaf_blocks(page)])
+    assert got[:300].mean() > 0.95 and got[300:].mean() < 0.1
+
+
+def test_odd_pages(spark):
+    """Very long and repeated pages, nulls, clashing columns: a row each, with values."""
+    long = "<html><body><nav><a>menu</a></nav><article>" + "".join(f"<p>part {i} of the text</p>" for i in range(3000)) + "</article></body></html>"
+    short = "<html><body><nav><a>menu</a></nav><article><h1>T</h1><p>one &amp; two</p></article><footer><p>legal</p></footer></body></html>"
+    rows = [(i, "u", h) for i, h in enumerate([short] * 20 + [None, "", long, short])] + [(3, "u", short), (None, "u", short)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = pages.selectExpr("*", "'x' as text", "1 as label", "2 as id", "3 as __text", "4 as n_chars").repartition(3)
+    model = L.train_on(spark.read.parquet(f"{SF}/pages.parquet"))
+    got = L.extract_text(pages, model=model).collect()
+    assert len(got) == len(rows)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.page_id].append(r.text)
+    assert by[20] == by[21] == [""] and by[3] == ["T\n\none & two"] * 2 and by[23] == by[None] == ["T\n\none & two"]
+    assert by[22] == ["\n\n".join(f"part {i} of the text" for i in range(3000))]
+
+
 def test_gradient_is_the_derivative():
     rng = np.random.default_rng(0)
     m = L.BiLstm.fresh(1)
