@@ -150,12 +150,8 @@ def _longs(values) -> Column:
 
 
 def _sketch(tile: Column) -> Column:
-    """The smallest hash of a tile in each of the orders."""
-
-    def least(mask: int) -> Column:
-        return F.array_min(F.transform(tile, lambda x: x.bitwiseXOR(F.lit(mask))))
-
-    return F.array(*map(least, MASKS))
+    """The smallest hash of a tile in each of the orders; one small expression over the masks, not one for each mask."""
+    return F.transform(_longs(MASKS), lambda mask: F.array_min(F.transform(tile, lambda x: x.bitwiseXOR(mask))))
 
 
 def _pairwise_least(tiles: Column) -> Column:
