@@ -161,7 +161,7 @@ class NgramTrie:
         ba_new = b_new | np.append(True, a[1:] != a[:-1])
         b_no, ba_no = np.cumsum(b_new) - 1, np.cumsum(ba_new) - 1
         # successors of b: how many different words stand before (b, c)
-        order = np.lexsort((c, b_no))
+        order = np.argsort((b_no.astype(np.uint64) << U(32)) | c.astype(np.uint64))  # word ids have 32 bits; equal pairs need no order
         sb, sc = b_no[order], c[order]
         s_new = np.append(True, (sb[1:] != sb[:-1]) | (sc[1:] != sc[:-1]))
         s_no = np.empty(len(a), np.int64)

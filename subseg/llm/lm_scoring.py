@@ -224,7 +224,7 @@ def trigram_requests(blocks: DataFrame, answers: DataFrame, shards: int, total:
             b = b.astype(np.uint64) | (coarse.astype(np.uint64) << U(32))
             shard = ((W.mix(b) >> U(16)) % U(shards)).astype(np.int32)
             del fine, coarse, lo, bits, log_q
-            order = np.lexsort((c, a, b, shard))
+            order = np.lexsort(((a.astype(U) << U(32)) | c, b, shard))
             a, b, c, doc, own_p1, own_q, n_b, shard = (x[order] for x in (a, b, c, doc, own_p1, own_q, n_b, shard))
             cut = np.searchsorted(shard, np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(cut)):
@@ -250,7 +250,8 @@ def _trie(parts: list[tuple], discount: float) -> tuple[NgramTrie | None, np.nda
     b, a, c, p1, count = (np.concatenate([p[k] for p in parts]) for k in range(5))
     if not len(b):
         return None, np.zeros(0)
-    order = np.lexsort((c, a, b))
+    order = np.argsort((a.astype(U) << U(32)) | c)  # equal rows need no order: their counts are added up
+    order = order[np.argsort(b[order], kind="stable")]
     b, a, c, p1, count = b[order], a[order], c[order], p1[order], count[order]
     first = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
     total = np.add.reduceat(count.astype(np.float64), first)
