@@ -7,9 +7,11 @@ from subseg.config import LATIN
 from subseg.operators.context import sentence_chunks
 from subseg.operators.decode import decode_chars, explode_chars
 from subseg.operators.features import char_features, feature_value_frames
+from subseg.operators.planted import planted_seg
 from subseg.operators.silver import with_silver
 from subseg.operators.treebank import format_predictions, silver_treebank
 from subseg.plans import fixture as fx
+from subseg.plans.segmenter import training_contexts
 
 
 def _plan(df) -> str:
@@ -90,3 +92,10 @@ def test_several_formats_come_from_one_pass(spark):
     assert "Union" not in _plan(both)
     for fmt in ("conllu", "xg", "diff"):
         assert sorted(map(tuple, both.filter(F.col("fmt") == fmt).drop("fmt").collect())) == sorted(map(tuple, format_predictions(preds, fmt).collect()))
+
+
+def test_the_check_of_training_rows_makes_a_segmentation_once(spark):
+    rows = spark.createDataFrame([(1, "abcde", "_", "_"), (2, "|", "_", "_"), (3, "a|b", "_", "_"), (4, "x", "_", "_")], "k long, word string, prev_word string, next_word string")
+    good, bad = training_contexts(rows.withColumn("seg", planted_seg(F.col("word"))), ["k"], 0.1)
+    assert _plan(good).count("RLIKE ^[0-9]+$") == _plan(bad).count("RLIKE ^[0-9]+$") == 1
+    assert sorted(r.k for r in good.collect()) == [1, 2, 4] and [r.k for r in bad.collect()] == [3]
