@@ -97,5 +97,5 @@ def test_several_formats_come_from_one_pass(spark):
 def test_the_check_of_training_rows_makes_a_segmentation_once(spark):
     rows = spark.createDataFrame([(1, "abcde", "_", "_"), (2, "|", "_", "_"), (3, "a|b", "_", "_"), (4, "x", "_", "_")], "k long, word string, prev_word string, next_word string")
     good, bad = training_contexts(rows.withColumn("seg", planted_seg(F.col("word"))), ["k"], 0.1)
-    assert _plan(good).count("RLIKE ^[0-9]+$") == _plan(bad).count("RLIKE ^[0-9]+$") == 1
+    assert _plan(good).count("^[0-9]+$") == _plan(bad).count("^[0-9]+$") == 1
     assert sorted(r.k for r in good.collect()) == [1, 2, 4] and [r.k for r in bad.collect()] == [3]
