@@ -50,3 +50,15 @@ def test_tokens_stay_at_their_seats(spark, docs):
     plan = df._jdf.queryExecution().executedPlan().toString()
     keys = [k for _, k, _ in _exchanges(plan)]
     assert keys and not [k for k in keys if SEAT in k and "word" in k or SEAT in k and "_nb" in k], keys
+
+
+def test_scores_need_no_exchange_of_words(spark, tmp_path):
+    from subseg.plans import catalog
+    docs = [(k, f"the reading of text {k} was unfairly ended, really", "en") for k in range(9)] + [(3, "really repeated", "de"), (None, "nearly ended", "fr")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    for query in (catalog.q_eval_prf, catalog.q_eval_by_lang, catalog.q_eval_errors):
+        df = query(spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        keys = [k for _, k, _ in _exchanges(plan)]
+        assert keys and not [k for k in keys if re.search(r"doc_id#\d+L?, pos#", k)], keys
+        assert df.count() > 0
